@@ -88,7 +88,7 @@ def bars_of_dim(bars: Column, dim: int) -> Column:
 
 
 def entropy_term(persistence: Column, total: Column) -> Column:
-    p = persistence / total
+    p = F.try_divide(persistence, total)
     return -p * F.ln(p + F.lit(ENTROPY_EPSILON))
 
 

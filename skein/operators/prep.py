@@ -12,6 +12,7 @@ from skein.schema import (
     BASELINE_SAMPLE,
     C2_FEATURES,
     MANIFOLD_FEATURES,
+    MANIFOLDS,
     N_FOLDS,
     NETWORK_FEATURES,
     NORMAL,
@@ -87,22 +88,21 @@ def apply_scaler(df: DataFrame, scaler: DataFrame) -> DataFrame:
     return df.withColumns({c: standardise(F.col(c), m, s) for c, (m, s) in fitted.items()})
 
 
-def manifold_points(flows: DataFrame, keep: list[str] = ("flow_id", "label")) -> DataFrame:
-    """Long table (keep.., manifold, vec) of scaled feature vectors."""
+def manifold_vectors(flows: DataFrame, keep: list[str] = ("flow_id", "label")) -> DataFrame:
+    """Wide table (keep.., one array column per manifold) of scaled features."""
     raw = original_features(flows, keep)
     columns = [c for group in MANIFOLD_FEATURES.values() for c in group]
     scaled = apply_scaler(raw, fit_scaler(raw, columns))
-    return points_from_scaled(scaled, list(keep))
+    return scaled.select(*keep, *[vector(cols).alias(m) for m, cols in MANIFOLD_FEATURES.items()])
 
 
-def points_from_scaled(scaled: DataFrame, keep: list[str]) -> DataFrame:
-    groups = F.array(
-        *[
-            F.struct(F.lit(m).alias("manifold"), vector(cols).alias("vec"))
-            for m, cols in MANIFOLD_FEATURES.items()
-        ]
+def long_points(wide: DataFrame, manifolds: list[str] = MANIFOLDS) -> DataFrame:
+    """One row per (row, manifold): the other columns, manifold, vec."""
+    keep = [c for c in wide.columns if c not in manifolds]
+    cells = F.array(
+        *[F.struct(F.lit(m).alias("manifold"), F.col(m).alias("vec")) for m in manifolds]
     )
-    return scaled.select(*keep, F.inline(groups))
+    return wide.select(*keep, F.inline(cells))
 
 
 def scale_vectors(points: DataFrame, group: str = "manifold", vec: str = "vec") -> DataFrame:
