@@ -444,7 +444,7 @@ def leak_check(spark, sf_dir):
 
 @query
 def order_neighborhood(spark, sf_dir):
-    return rounded(neighbors.order_neighborhood(fx.flows(spark, sf_dir), "flow_duration_s"), 4)
+    return rounded(neighbors.order_neighborhood(fx.flows(spark, sf_dir), "flow_duration_s"))
 
 
 @query
