@@ -66,17 +66,18 @@ def _pieces(lune: int, near: list[int]) -> list[int]:
     """One point of every connected piece of a lune, lowest first."""
     seeds = []
     while lune:
-        grown = front = lune & -lune
-        seeds.append(front.bit_length() - 1)
+        seed = (lune & -lune).bit_length() - 1
+        seeds.append(seed)
+        lune ^= 1 << seed
+        front = near[seed] & lune
         while front:
+            lune ^= front
             reach = 0
-            while front:
+            while front and lune & ~reach:
                 low = front & -front
                 reach |= near[low.bit_length() - 1]
                 front ^= low
-            front = reach & lune & ~grown
-            grown |= front
-        lune &= ~grown
+            front = reach & lune
     return seeds
 
 

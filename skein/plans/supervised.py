@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.auc import multiclass_auc
+from skein.operators.evaluate import confusion_long, weighted_metrics
 from skein.operators.features import bar_features
+from skein.operators.models import check_class_order, score_rows
 from skein.operators.neighbors import knn_join, neighborhoods
-from skein.operators.prep import join_features, long_points, manifold_vectors, original_features, stratified_split
+from skein.operators.prep import (
+    join_features,
+    long_points,
+    manifold_vectors,
+    original_features,
+    stratified_split,
+)
 from skein.operators.topology import cloud_bars
 from skein.schema import K_NEIGHBORS, MAX_EDGE, SEED, TEST_FRACTION
 from skein.session import settle
@@ -36,3 +47,28 @@ def feature_table(
     raw = original_features(flows, ["flow_id", "label"])
     topo = bar_features(bars, ["flow_id"])
     return join_features(raw, split.select("flow_id", F.col("split")), topo)
+
+
+def compare_models(
+    table: DataFrame,
+    fits: dict[str, Callable[[DataFrame], object]],
+    classes: list[str],
+) -> tuple[DataFrame, dict[str, object]]:
+    """Fit on the train rows, measure on the test rows: one metric row per model.
+
+    Each model's scored test rows are settled once for the matrix and the AUC.
+    """
+    train, test = table.where("split = 'train'"), table.where("split = 'test'")
+    rows, fitted = None, {}
+    for name, fit in fits.items():
+        model = fit(train)
+        check_class_order(model, classes)
+        scored = settle(score_rows(model, test, ["flow_id", "label"]))
+        weighted = weighted_metrics(confusion_long(scored))
+        macro = multiclass_auc(scored, classes).where("target = 'macro'").select("auc")
+        row = weighted.select(
+            F.lit(name).alias("model"), "accuracy", "precision", "recall", F.col("f1_score").alias("f1")
+        ).withColumn("auc", macro.scalar())
+        rows = row if rows is None else rows.unionByName(row)
+        fitted[name] = model
+    return rows, fitted
