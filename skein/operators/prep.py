@@ -125,7 +125,7 @@ def scale_vectors(points: DataFrame, group: str = "manifold", vec: str = "vec")
     return joined.withColumn(vec, scaled).drop("_fit").select(*points.columns)
 
 
-def test_allocation(counts: DataFrame, label: str, fraction: float = TEST_FRACTION) -> DataFrame:
+def split_allocation(counts: DataFrame, label: str, fraction: float = TEST_FRACTION) -> DataFrame:
     """(label, n, n_test): ceil(fraction * total) test rows by largest remainder.
 
     ``counts`` has one row per class, so the windows below see only those few rows.
@@ -159,7 +159,7 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split`` ('train' / 'test'): the first rows of each class in hash order are test."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    allocation = test_allocation(counts, label, fraction).select(label, "n_test")
+    allocation = split_allocation(counts, label, fraction).select(label, "n_test")
     ranked = lookup_join(hash_rank(df, [label], unique, seed), allocation, [label])
     split = F.when(F.col("rank") <= F.col("n_test"), "test").otherwise("train")
     return ranked.withColumn("split", split).drop("rank", "size", "n_test")
