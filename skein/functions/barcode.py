@@ -13,6 +13,9 @@ import numpy as np
 
 from skein.schema import MAX_EDGE
 
+# Cells of one (edges x points) table held at a time.
+CELLS = 300_000
+
 
 def distance_matrices(clouds: np.ndarray) -> np.ndarray:
     """(B, n, d) points -> (B, n, n) Euclidean distances, coordinate by coordinate."""
@@ -52,14 +55,36 @@ def component_bars(dist: np.ndarray, max_edge: float = MAX_EDGE) -> list[np.ndar
     return out
 
 
-def lune_minimum(rank: np.ndarray) -> np.ndarray:
-    """(B, n, n): over all third points, the smallest possible 'longer side'."""
-    best = np.full_like(rank, np.iinfo(rank.dtype).max)
-    side = np.empty_like(rank)
-    for c in range(rank.shape[1]):
-        np.maximum(rank[:, :, c, None], rank[:, None, c, :], out=side)
-        np.minimum(best, side, out=best)
-    return best
+def lune_tables(
+    rank: np.ndarray, ia: np.ndarray, ib: np.ndarray, number: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per edge of each cloud: is its lune empty, its innermost point, may it have pieces.
+
+    A lune whose points are all near its innermost point is surely in one piece.
+    """
+    b, m = number.shape
+    n = rank.shape[1]
+    empty = np.empty((b, m), dtype=bool)
+    apex = np.empty((b, m), dtype=np.int32)
+    loose = np.empty((b, m), dtype=bool)
+    linked = rank.copy()
+    linked[:, np.arange(n), np.arange(n)] = -1
+    step = max(1, CELLS // max(1, n * n))
+    for i in range(0, b, step):
+        wide = max(1, CELLS // (n * min(step, b - i)))
+        for j in range(0, m, wide):
+            e = slice(j, j + wide)
+            at = slice(i, i + step)
+            own = number[at, e]
+            side = np.maximum(rank[at][:, ia[e]], rank[at][:, ib[e]])
+            inner = side.argmin(axis=2)
+            inside = side < own[:, :, None]
+            away = linked[at][np.arange(len(own))[:, None], inner] > own[:, :, None]
+            away &= inside
+            empty[at, e] = ~inside.any(axis=2)
+            apex[at, e] = inner
+            loose[at, e] = away.any(axis=2)
+    return empty, apex, loose
 
 
 def _pieces(lune: int, near: list[int]) -> list[int]:
@@ -81,21 +106,27 @@ def _pieces(lune: int, near: list[int]) -> list[int]:
     return seeds
 
 
-def _loops(ia: list[int], ib: list[int], rank: np.ndarray, empty: np.ndarray, n: int):
+def _loops(
+    ia: list[int],
+    ib: list[int],
+    rank: np.ndarray,
+    empty: np.ndarray,
+    apex: np.ndarray,
+    loose: np.ndarray,
+) -> list[tuple[int, int]]:
     """(birth edge, closing edge or -1) by edge number.
 
-    ``empty`` marks edges with an empty lune. Columns of the boundary matrix are
-    integers whose bits are edge numbers.
+    Columns of the boundary matrix are integers whose bits are edge numbers.
     """
+    n = len(rank)
+    bit = [1 << i for i in range(n)]
     near = [0] * n
     root = list(range(n))
-    lunes: list[int] = []
     closed: dict[int, int] = {}
     births: set[int] = set()
     pairs = []
-    late = len(empty) - 1
-    while late >= 0 and not empty[late]:
-        late -= 1
+    linked = 0
+    late = int(np.flatnonzero(empty)[-1])
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -103,39 +134,41 @@ def _loops(ia: list[int], ib: list[int], rank: np.ndarray, empty: np.ndarray, n:
             x = root[x]
         return x
 
-    for e, (a, b) in enumerate(zip(ia, ib)):
-        lune = near[a] & near[b]
-        lunes.append(lune)
-        if not lune:
+    def sides(e: int, c: int) -> int:
+        """The two other edges of the triangle of edge e and point c."""
+        return 1 << int(rank[ia[e], c]) ^ 1 << int(rank[ib[e], c])
+
+    for e in np.flatnonzero(empty | loose).tolist():
+        a, b = ia[e], ib[e]
+        if empty[e]:
             ra, rb = find(a), find(b)
             if ra == rb:
                 births.add(e)
             else:
                 root[ra] = rb
-        elif births:
-            first = (lune & -lune).bit_length() - 1
-            if lune & ~near[first] & ~(1 << first):
-                seeds = _pieces(lune, near)
-                base = 1 << int(rank[a, seeds[0]]) ^ 1 << int(rank[b, seeds[0]])
-                for c in seeds[1:]:
-                    column = base ^ 1 << int(rank[a, c]) ^ 1 << int(rank[b, c])
-                    while column:
-                        top = column.bit_length() - 1
-                        if lunes[top]:
-                            x, y = ia[top], ib[top]
-                            z = (lunes[top] & -lunes[top]).bit_length() - 1
-                            column ^= 1 << top ^ 1 << int(rank[x, z]) ^ 1 << int(rank[y, z])
-                        elif top in closed:
-                            column ^= closed[top]
-                        else:
-                            closed[top] = column
-                            births.discard(top)
-                            pairs.append((top, e))
-                            break
-        elif e > late:
-            break
-        near[a] |= 1 << b
-        near[b] |= 1 << a
+            continue
+        if not births:
+            if e > late:
+                break
+            continue
+        for x, y in zip(ia[linked:e], ib[linked:e]):
+            near[x] |= bit[y]
+            near[y] |= bit[x]
+        linked = e
+        seeds = _pieces(near[a] & near[b], near)
+        for c in seeds[1:]:
+            column = sides(e, seeds[0]) ^ sides(e, c)
+            while column:
+                top = column.bit_length() - 1
+                if not empty[top]:
+                    column ^= 1 << top ^ sides(top, int(apex[top]))
+                elif top in closed:
+                    column ^= closed[top]
+                else:
+                    closed[top] = column
+                    births.discard(top)
+                    pairs.append((top, e))
+                    break
     return pairs + [(e, -1) for e in births]
 
 
@@ -155,7 +188,7 @@ def loop_bars(dist: np.ndarray, max_edge: float = MAX_EDGE) -> list[np.ndarray]:
     rank = np.full((b, n, n), np.iinfo(small).max, dtype=small)
     rank[:, ia, ib] = number
     rank[:, ib, ia] = number
-    lune_empty = lune_minimum(rank)[:, ia, ib] >= number
+    lune_empty, apex, loose = lune_tables(rank, ia, ib, number)
     out = []
     for i in range(b):
         seq = order[i]
@@ -165,7 +198,9 @@ def loop_bars(dist: np.ndarray, max_edge: float = MAX_EDGE) -> list[np.ndarray]:
         if int(empty.sum()) < 4:
             out.append(none)
             continue
-        pairs = _loops(ia[seq].tolist(), ib[seq].tolist(), rank[i], empty, n)
+        pairs = _loops(
+            ia[seq].tolist(), ib[seq].tolist(), rank[i], empty, apex[i, seq], loose[i, seq]
+        )
         size = lengths[i, seq]
         bars = np.array(
             [(size[e], size[f] if f >= 0 else max_edge) for e, f in pairs], dtype=float
