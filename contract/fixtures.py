@@ -1,6 +1,7 @@
 """Flow, score and point tables derived from the given events and embeddings.
 
-The SQL of flows and scores is the same text in both engines.
+The SQL of flows and scores is the same text in both engines. A flow without duration
+has rates of 0.
 """
 
 from __future__ import annotations
@@ -26,10 +27,13 @@ SELECT event_id AS flow_id,
        CAST(tx AS DOUBLE) AS tx_packets, CAST(rx AS DOUBLE) AS rx_packets,
        CAST(tx - rx AS DOUBLE) AS lost_packets,
        CAST(tx * (64 + k) AS DOUBLE) AS tx_bytes, CAST(rx * (64 + k) AS DOUBLE) AS rx_bytes,
-       tx / value AS tx_packet_rate_s, rx / value AS rx_packet_rate_s,
-       tx * (64 + k) / value AS tx_byte_rate_s, rx * (64 + k) / value AS rx_byte_rate_s,
+       coalesce(tx / nullif(value, 0), 0) AS tx_packet_rate_s,
+       coalesce(rx / nullif(value, 0), 0) AS rx_packet_rate_s,
+       coalesce(tx * (64 + k) / nullif(value, 0), 0) AS tx_byte_rate_s,
+       coalesce(rx * (64 + k) / nullif(value, 0), 0) AS rx_byte_rate_s,
        CAST(64 + k AS DOUBLE) AS mean_packet_size, value / 1000 AS mean_delay_s,
-       value / 5000 AS mean_jitter_s, rx * (64 + k) / value / 125 AS throughput_kbps,
+       value / 5000 AS mean_jitter_s,
+       coalesce(rx * (64 + k) / nullif(value, 0) / 125, 0) AS throughput_kbps,
        CAST(tx - rx AS DOUBLE) / tx AS packet_drop_rate,
        CAST(1 + k % 5 AS DOUBLE) AS average_hop_count,
        CASE event_type WHEN 'view' THEN 'Normal Traffic' WHEN 'error' THEN 'Blackhole Attack'

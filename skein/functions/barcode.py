@@ -215,6 +215,8 @@ def barcodes(clouds: np.ndarray, max_edge: float = MAX_EDGE) -> list[np.ndarray]
     b, n, _ = clouds.shape
     if n == 0:
         return [np.empty((0, 3))] * b
+    if not np.isfinite(clouds).all():
+        raise ValueError("a point has a missing or infinite coordinate")
     dist = distance_matrices(clouds)
     out = []
     for h0, h1 in zip(component_bars(dist, max_edge), loop_bars(dist, max_edge)):
