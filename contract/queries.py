@@ -542,15 +542,12 @@ def baseline_summary(spark, sf_dir):
     return topology.baseline_summary(topology.baseline_bars(wide, replicates=2))
 
 
-def _w2(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    wide = prep.manifold_vectors(fx.flows(spark, sf_dir))
-    baseline = topology.baseline_bars(wide)
-    return wide, distance.w2_distance(topology.order_bars(wide), baseline)
-
-
 @query
 def w2_distance(spark, sf_dir):
-    return rounded(_w2(spark, sf_dir)[1])
+    wide = fx.wide_points(spark, sf_dir)
+    scaled = topology.wide_points(prep.scale_vectors(prep.long_points(wide)), MANIFOLDS, ["flow_id", "label"])
+    baseline = topology.baseline_bars(scaled)
+    return rounded(distance.w2_distance(topology.order_bars(scaled), baseline))
 
 
 @query

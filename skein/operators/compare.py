@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.columns import dimension_of, manifold_of, provenance, strip_suffix
+from skein.session import all_rows
 
 METRICS = ["accuracy", "f1", "auc"]
 # Spellings of the metric columns in stored metric tables.
@@ -148,11 +149,14 @@ def importance_groups(importance: DataFrame, top: int = 20) -> DataFrame:
         F.struct(F.lit("manifold").alias("facet"), manifold_of(f).alias("name")),
         F.struct(F.lit("dimension").alias("facet"), dimension_of(f).alias("name")),
     )
-    total = importance.agg(F.sum("importance")).scalar()
-    tagged = importance.join(best, "feature", "left").select("importance", "t", F.inline(facets))
+    tagged = (
+        importance.withColumn("total", F.sum("importance").over(all_rows()))
+        .join(best, "feature", "left")
+        .select("importance", "total", "t", F.inline(facets))
+    )
     return tagged.groupBy("facet", "name").agg(
         F.count(F.lit(1)).alias("n_features"),
         F.sum("importance").alias("importance"),
-        (F.sum("importance") * 100.0 / F.first(total)).alias("pct"),
+        (F.sum("importance") * 100.0 / F.first("total")).alias("pct"),
         F.count("t").alias("n_top"),
     )

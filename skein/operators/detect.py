@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.columns import any_flag, flag_pattern
 from skein.schema import MANIFOLDS, NORMAL, SIGMA
+from skein.session import all_rows
 
 GROUPS = [m.lower() for m in MANIFOLDS]
 
@@ -92,9 +93,8 @@ def flag_rates(df: DataFrame, groups: list[str] = GROUPS) -> DataFrame:
 def pattern_counts(df: DataFrame, top: int = 10) -> DataFrame:
     """The most frequent flag patterns with their share in %."""
     counts = df.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.agg(F.sum("n")).scalar()
     return (
-        counts.select("pattern", "n", (F.col("n") * 100.0 / rows).alias("pct"))
+        counts.select("pattern", "n", (F.col("n") * 100.0 / F.sum("n").over(all_rows())).alias("pct"))
         .orderBy(F.desc("n"), "pattern")
         .limit(top)
     )

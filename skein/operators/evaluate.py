@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from skein.functions.columns import ratio
 from skein.operators.ranks import exact_quantiles
 from skein.schema import HISTOGRAM_BINS
+from skein.session import all_rows, lookup_join
 
 
 def confusion_long(df: DataFrame, actual: str = "label", predicted: str = "predicted") -> DataFrame:
@@ -71,13 +72,10 @@ def per_class_metrics(long: DataFrame) -> DataFrame:
 
 def low_recall(metrics: DataFrame, limit: float = 0.5) -> DataFrame:
     """Class metrics with a warning flag and the macro means beside each class."""
-    macro = metrics.agg(
-        F.struct(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1_score")])
-    ).scalar()
-    return metrics.withColumn("_m", macro).select(
+    return metrics.select(
         *metrics.columns,
         F.when(F.col("recall") < limit, True).otherwise(False).alias("low_recall"),
-        *[F.col("_m")[c].alias(f"macro_{c}") for c in ("precision", "recall", "f1_score")],
+        *[F.avg(c).over(all_rows()).alias(f"macro_{c}") for c in ("precision", "recall", "f1_score")],
     )
 
 
@@ -162,8 +160,6 @@ def histogram(
         F.when(F.col("hi") > F.col("lo"), F.col("lo")).otherwise(F.col("lo") - 0.5).alias("lo"),
         F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("hi") + 0.5).alias("hi"),
     )
-    from skein.session import lookup_join
-
     placed = lookup_join(values, spans, ["name", "grp"])
     spot = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
     counts = placed.groupBy("name", "grp", F.least(spot, F.lit(bins - 1)).cast("int").alias("bin")).agg(
@@ -205,8 +201,10 @@ def probability_stats(
         ]
 
     scored = df.select(F.col(label).alias("label"), own.alias("own"), top.alias("top"))
-    whole = scored.agg(*stats("top")).select(F.lit("ALL").alias("label"), "*")
-    median = exact_quantiles(scored, ["top"], [0.5]).select(F.lit("ALL").alias("label"), F.col("q0").alias("median"))
-    whole = whole.join(median, "label")
+    whole = scored.agg(*stats("top")).select(
+        F.lit("ALL").alias("label"),
+        "*",
+        exact_quantiles(scored, ["top"], [0.5]).select("q0").scalar().alias("median"),
+    )
     each = scored.groupBy("label").agg(*stats("own")).withColumn("median", F.lit(None).cast("double"))
     return whole.unionByName(each)

@@ -20,7 +20,7 @@ from skein.schema import (
     SEED,
     TEST_FRACTION,
 )
-from skein.session import lookup_join
+from skein.session import all_rows, lookup_join
 
 
 def encode_c2(flows: DataFrame, keep: list[str] = ("flow_id",)) -> DataFrame:
@@ -130,7 +130,7 @@ def split_allocation(counts: DataFrame, label: str, fraction: float = TEST_FRACT
 
     ``counts`` has one row per class, so the windows below see only those few rows.
     """
-    everything = W.partitionBy()
+    everything = all_rows()
     wide = counts.select(label, "n", F.sum("n").over(everything).cast("decimal(38,0)").alias("total"))
     want = F.ceil(F.lit(fraction) * F.col("total").cast("double")).cast("decimal(19,0)")
     share = F.col("want") * F.col("n").cast("decimal(19,0)")
@@ -183,20 +183,30 @@ def select_split(df: DataFrame, split: DataFrame, name: str, unique: str = "flow
 
 
 def split_overlap(split: DataFrame, flows: DataFrame, unique: str = "flow_id") -> DataFrame:
-    """Counts that must be 0: ids in both splits, ids in none, ids not in the flows."""
-    train = split.where("split = 'train'").select(unique)
-    test = split.where("split = 'test'").select(unique)
-    ids = flows.select(unique)
-    checks = [
-        ("in_both", train.intersect(test)),
-        ("unassigned", ids.exceptAll(split.select(unique))),
-        ("unknown", split.select(unique).exceptAll(ids)),
-    ]
-    parts = [
-        rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n")
-        for name, rows in checks
+    """Counts that must be 0: ids in both splits, flows in none, split rows without a flow.
+
+    One shuffle by id instead of an intersection and two differences.
+    """
+    sides = split.select(
+        unique,
+        (F.col("split") == "train").cast("int").alias("train"),
+        (F.col("split") == "test").cast("int").alias("test"),
+        F.lit(0).alias("flow"),
+    ).unionByName(
+        flows.select(unique, F.lit(0).alias("train"), F.lit(0).alias("test"), F.lit(1).alias("flow"))
+    )
+    per_id = sides.groupBy(unique).agg(*[F.sum(c).alias(c) for c in ("train", "test", "flow")])
+    assigned = F.col("train") + F.col("test")
+    zero = F.lit(0).cast("long")
+    counts = per_id.agg(
+        F.count_if((F.col("train") > 0) & (F.col("test") > 0)).alias("in_both"),
+        F.coalesce(F.sum(F.greatest(F.col("flow") - assigned, zero)), zero).alias("unassigned"),
+        F.coalesce(F.sum(F.greatest(assigned - F.col("flow"), zero)), zero).alias("unknown"),
+    )
+    rows = [
+        F.struct(F.lit(c).alias("check"), F.col(c).alias("n")) for c in ("in_both", "unassigned", "unknown")
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def split_report(split: DataFrame, label: str = "label") -> DataFrame:
@@ -206,20 +216,11 @@ def split_report(split: DataFrame, label: str = "label") -> DataFrame:
         F.count_if(F.col("split") == "train").alias("n_train"),
         F.count_if(F.col("split") == "test").alias("n_test"),
     )
-    sums = counts.agg(
-        F.struct(*[F.sum(c).alias(c) for c in ("n_total", "n_train", "n_test")])
-    ).scalar()
-    whole = counts.withColumn("_sum", sums)
-    return whole.select(
-        label,
-        "n_total",
-        "n_train",
-        "n_test",
-        *[
-            (F.col(c) * 100.0 / F.col("_sum")[c]).alias(c.replace("n_", "pct_"))
-            for c in ("n_total", "n_train", "n_test")
-        ],
-    )
+    shares = [
+        (F.col(c) * 100.0 / F.sum(c).over(all_rows())).alias(c.replace("n_", "pct_"))
+        for c in ("n_total", "n_train", "n_test")
+    ]
+    return counts.select(label, "n_total", "n_train", "n_test", *shares)
 
 
 def baseline_sample(
@@ -249,10 +250,9 @@ def encode_labels(df: DataFrame, label: str = "label") -> DataFrame:
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """(label, weight) = rows / (classes * rows of the class)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.agg(F.struct(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes"))).scalar()
-    return counts.withColumn("_w", whole).select(
-        label, "n", (F.col("_w.rows") / (F.col("_w.classes") * F.col("n"))).alias("weight")
-    )
+    w = all_rows()
+    weight = F.sum("n").over(w) / (F.count(F.lit(1)).over(w) * F.col("n"))
+    return counts.select(label, "n", weight.alias("weight"))
 
 
 def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.functions.columns import any_flag, ratio
+from skein.functions.columns import any_flag
 from skein.operators.ranks import exact_quantiles
 from skein.schema import KEY_FEATURES, NORMAL
+from skein.session import all_rows
 
 SHARE_LIMIT = 95.0
 DISTINCT_LIMIT = 100
@@ -50,21 +52,15 @@ def scan_profile(df: DataFrame, unique: str = "flow_id") -> DataFrame:
 def class_distribution(df: DataFrame, label: str = "label", limit: float = SHARE_LIMIT) -> DataFrame:
     """Rows and % per class, descending; with the imbalance ratio and its warning."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.agg(
-        F.struct(F.sum("n").alias("rows"), F.max("n").alias("most"), F.min("n").alias("least"))
-    ).scalar()
-    share = F.col("n") * 100.0 / F.col("_w.rows")
-    return (
-        counts.withColumn("_w", whole)
-        .select(
-            label,
-            "n",
-            share.alias("pct"),
-            (F.col("_w.most") / F.col("_w.least")).alias("imbalance"),
-            (F.col("_w.most") * 100.0 / F.col("_w.rows") > limit).alias("imbalanced"),
-        )
-        .orderBy(F.desc("n"), label)
-    )
+    w = all_rows()
+    most, rows = F.max("n").over(w), F.sum("n").over(w)
+    return counts.select(
+        label,
+        "n",
+        (F.col("n") * 100.0 / rows).alias("pct"),
+        (most / F.min("n").over(w)).alias("imbalance"),
+        (most * 100.0 / rows > limit).alias("imbalanced"),
+    ).orderBy(F.desc("n"), label)
 
 
 def class_means(df: DataFrame, features: list[str] = KEY_FEATURES, label: str = "label") -> DataFrame:
@@ -214,8 +210,6 @@ def nth_of_class(
     df: DataFrame, n: int, classes: list[str], label: str = "label", unique: str = "flow_id"
 ) -> DataFrame:
     """The n-th row (0-based, in id order) of each class; tasks keep only their first n + 1."""
-    from pyspark.sql import Window as W
-
     order = W.partitionBy(label).orderBy(unique)
     ranked = df.where(F.col(label).isin(classes)).withColumn("_rn", F.row_number().over(order))
     return ranked.where(F.col("_rn") == n + 1).drop("_rn")
@@ -238,17 +232,3 @@ def exclusive_flags(df: DataFrame, flags: list[str], union: str) -> DataFrame:
         F.bool_and(F.col(union) == any_flag([F.col(f) for f in flags])).alias("union_is_or"),
     )
 
-
-__all__ = [
-    "class_distribution",
-    "class_means",
-    "describe",
-    "distinct_by_class",
-    "exclusive_flags",
-    "feature_health",
-    "long_form",
-    "nth_of_class",
-    "range_overlap",
-    "ratio",
-    "scan_profile",
-]

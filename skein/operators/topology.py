@@ -185,6 +185,15 @@ def baseline_summary(baseline: DataFrame) -> DataFrame:
     )
 
 
+def wide_points(points: DataFrame, manifolds: list[str], keep: list[str]) -> DataFrame:
+    """Long points (keep.., manifold, vec) -> one array column per manifold."""
+    columns = [
+        F.first(F.when(F.col("manifold") == m, F.col("vec")), ignorenulls=True).alias(m)
+        for m in manifolds
+    ]
+    return points.groupBy(*keep).agg(*columns)
+
+
 def explode_bars(bars: DataFrame, keys: list[str], cap: float = MAX_EDGE) -> DataFrame:
     """(keys.., dim, birth, death), one row per bar, deaths capped."""
     out = bars.select(*keys, F.inline("bars"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 LOOKUP_ROWS = 100_000
@@ -54,6 +56,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def all_rows() -> WindowSpec:
+    """A window over a whole table: only for tables already reduced to a few rows,
+    such as one row per class. It avoids computing what led to them a second time."""
+    return W.partitionBy()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
