@@ -37,7 +37,7 @@ HEADLINE = [
     "bar_features",
     "order_bars",
     "baseline_summary",
-    "w2_detection",
+    "w2_distance",
 ]
 
 
