@@ -130,7 +130,22 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of the concatenated runs [start, start + length)."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
+    small = total < 1 << 31 and (not len(starts) or int(starts.max()) + int(lengths.max()) < 1 << 31)
+    kind = np.int32 if small else np.int64
+    out = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
+
+
+def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """The runs of ``pool`` one after another; ``step`` runs at a time, to keep indices few."""
+    out = np.empty(int(lengths.sum()), pool.dtype)
+    at = 0
+    for k in range(0, len(starts), step):
+        part = pool[ragged(starts[k : k + step], lengths[k : k + step])]
+        out[at : at + len(part)] = part
+        at += len(part)
+    return out
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

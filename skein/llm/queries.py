@@ -52,3 +52,51 @@ def op9_decontamination(spark, sf_dir):
 
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.drop("spans", "items")
+
+
+@query
+def op2_url_filter(spark, sf_dir):
+    from skein.llm.url_filter import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"), keep=["page_id"])
+
+
+@query
+def op3_packing(spark, sf_dir):
+    from skein.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_language(spark, sf_dir):
+    from skein.llm.common import id_bucket
+    from skein.llm.language import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(id_bucket("doc_id", 3) != 1), "text", "lang", "doc_id")
+    held_out = docs.select("doc_id", "text", (id_bucket("doc_id", 3) == 1).alias("held_out"))
+    return identify(held_out, model, keep=["doc_id", "held_out"])
+
+
+@query
+def op1_lattice_score(spark, sf_dir):
+    from skein.llm.common import id_bucket
+    from skein.llm.lattice import score_texts
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_bucket("doc_id", 10) == 0
+    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
+    return score_texts(rows, vocabulary("byte_bpe_50k.json"), ~held_out, keep=["doc_id", "held_out"])
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    from skein.llm.common import id_bucket
+    from skein.llm.toxicity import score_toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    model = train(docs, labels.where(id_bucket("doc_id", 5) != 0))
+    rows = docs.select("doc_id", "text", (id_bucket("doc_id", 5) == 0).alias("held_out"))
+    return score_toxicity(rows, model, keep=["doc_id", "held_out"])

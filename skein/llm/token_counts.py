@@ -75,7 +75,7 @@ class Table:
         return out
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in byte-level vocabularies: printable bytes for
     themselves, the others for the code points from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -89,7 +89,7 @@ class MergeMachine:
     def __init__(self, vocabulary: str):
         with open(vocabulary, encoding="utf-8") as file:
             held = json.load(file)
-        letters, ids = _byte_letters(), held["model"]["vocab"]
+        letters, ids = byte_letters(), held["model"]["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in held["model"]["merges"]]
         self.special = [t["content"] for t in held["added_tokens"]]
         # rank: bytes first, then merges in their order

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from skein.llm.common import flat_bytes, ragged
+from skein.llm.common import flat_bytes, gather, ragged
 
 _LETTER, _NUMBER, _OTHER, _BLANK, _SPACE = range(5)
 
@@ -73,12 +73,15 @@ def character_classes() -> np.ndarray:
     """The class of every code point under the splitting pattern."""
     import regex
 
-    points = [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]
-    every = "".join(map(chr, points))
     classes = np.full(sys.maxunicode + 1, _OTHER, np.uint8)
-    for pattern, number in ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER), (r"\s", _SPACE)):
-        found = np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)
-        classes[found] = number
+    step = 1 << 14
+    for at in range(0, sys.maxunicode + 1, step):  # in parts: the strings are short-lived
+        if 0xD800 <= at < 0xE000:
+            continue
+        every = "".join(map(chr, range(at, min(at + step, 0xD800 if at < 0xD800 else sys.maxunicode + 1))))
+        for pattern, number in ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER), (r"\s", _SPACE)):
+            found = np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)
+            classes[found] = number
     classes[0x20] = _BLANK
     return classes
 
@@ -185,6 +188,9 @@ class IdEncoder:
             raise ValueError("more than one special token")
         self.special = [(t.content, k) for k, t in added.items()]
         self.splitter = Splitter([content for content, _ in self.special])
+        # first bytes of characters among which there is no white space
+        self.visible = np.ones(256, bool)
+        self.visible[[*range(0x21), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
         # byte-level vocabularies write each byte as one letter
         by_id = sorted((k, len(token)) for token, k in self.library.get_vocab(False).items())
         self.width = np.zeros(by_id[-1][0] + 1, np.int64)
@@ -201,7 +207,7 @@ class IdEncoder:
         blank = np.zeros(len(values), bool)
         blank[size > 1] = data[ends[:-1][size > 1]] == 0x20
         second = np.where(size > 1, data[np.minimum(ends[:-1] + 1, len(data) - 1)], 0x20)
-        joint = blank & (second > 0x20) & (second < 0x7F)  # what follows the blank is surely visible
+        joint = blank & self.visible[second]  # what follows the blank is surely visible
         rows = [np.flatnonzero(joint), np.flatnonzero(~joint)]
         groups = []
         for at in range(0, len(rows[0]), self.GROUP):
@@ -230,11 +236,11 @@ class IdEncoder:
         else:
             pool, start, length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         # the ids of each unit in a row, then those of each text
-        pool = pool[ragged(start[found.parts], length[found.parts])]
+        pool = gather(pool, start[found.parts], length[found.parts])
         unit = np.concatenate([[0], np.cumsum(length[found.parts])])
         ends = np.cumsum(found.part_counts)
         begin, stop = unit[ends - found.part_counts], unit[ends]
-        ids = pool[ragged(begin[found.numbers], (stop - begin)[found.numbers])]
+        ids = gather(pool, begin[found.numbers], (stop - begin)[found.numbers])
         counts = found.per_text(length)
         if len(pieces) > len(texts):
             behind = np.cumsum(counts)
