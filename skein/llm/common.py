@@ -39,9 +39,9 @@ def col(name: str) -> Column:
 
 
 def free_name(df: DataFrame, name: str) -> str:
-    """``name``, lengthened until no column of ``df`` has it in any spelling."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
+    """``name``, lengthened until no column of ``df`` starts with it in any spelling."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name.lower()) for c in taken):
         name += "_"
     return name
 
@@ -76,21 +76,22 @@ def map_texts(
     ``make`` runs once in each task and returns the function from an Arrow string array
     without nulls (a null text counts as empty) to the arrays of ``fields``.
     """
-    held = free_name(df, "text_of_row")
-    source = df.select(*[col(c) for c in keep], F.coalesce(col(text), F.lit("")).alias(held))
+    shown = text in keep  # then the text goes to the task once
+    source = df.select(*[col(c) for c in keep], *([] if shown else [col(text).alias(free_name(df, "text_of_row"))]))
     schema = T.StructType([source.schema[c] for c in keep] + fields)
-    names = schema.names
+    names, n_kept = schema.names, len(keep)
+    at = keep.index(text) if shown else n_kept
 
     def run(batches):
         work = make()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = pc.fill_null(batch.column(at), "")
             sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
             for start, n in byte_slices(sizes, limit):
                 part = batch.slice(start, n)
                 # concat_arrays copies the slice, so that offsets start at 0
-                own = pa.concat_arrays([part.column(part.num_columns - 1)])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *work(own)], names=names)
+                own = pa.concat_arrays([texts.slice(start, n)])
+                yield pa.RecordBatch.from_arrays([*part.columns[:n_kept], *work(own)], names=names)
 
     return source.mapInArrow(run, schema)
 
@@ -157,10 +158,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of every word that is the same in every task."""
-    import xxhash
-
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter(
-        (digest(w) for w in words.cast(pa.binary()).to_pylist()), np.uint64, count=len(words)
-    )
+    """A 64-bit hash of every word that is the same in every task: a mixed sum over its bytes,
+    each mixed with its place."""
+    data, ends = flat_bytes(words)
+    size = np.diff(ends)
+    out = np.zeros(len(size), np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        place = np.arange(int(ends[0]), int(ends[-1])) - np.repeat(ends[:-1], size)
+        each = mix64(place.astype(np.uint64) * np.uint64(256) + data[ends[0] : ends[-1]] + np.uint64(1))
+        out[full] = np.add.reduceat(each, ends[:-1][full] - ends[0])
+    return mix64(out + size.astype(np.uint64))

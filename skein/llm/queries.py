@@ -100,3 +100,10 @@ def op10_toxicity(spark, sf_dir):
     model = train(docs, labels.where(id_bucket("doc_id", 5) != 0))
     rows = docs.select("doc_id", "text", (id_bucket("doc_id", 5) == 0).alias("held_out"))
     return score_toxicity(rows, model, keep=["doc_id", "held_out"])
+
+
+@query
+def op8_jaccard_join(spark, sf_dir):
+    from skein.llm.jaccard import similar_components
+
+    return similar_components(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("node")
