@@ -37,8 +37,9 @@ from skein.llm.units import IdEncoder
 MAGIC = b"DACIDS01"
 NULL_ID = np.iinfo(np.int64).min
 BLOCK = 512
-SHARD_BYTES = 20 << 20
-BATCH_BYTES = 20 << 20
+SHARD_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+
 
 
 def _rank_directory(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
