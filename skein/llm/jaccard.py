@@ -33,11 +33,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import col, free_name, map_texts, mix64, ragged, shared_table, split_words, word_hashes
+from skein.llm.common import (
+    SLICE_BYTES,
+    byte_slices,
+    col,
+    free_name,
+    map_texts,
+    mix64,
+    ragged,
+    shared_table,
+    split_words,
+    word_hashes,
+)
 
 
 @dataclass(frozen=True)
@@ -323,41 +335,48 @@ def similar_components(
     )
 
 
-#: Slots of the bitmap of ids that goes before the join with texts.
+#: Slots of the bitmap of ids that picks the texts to read as sets.
 _SLOTS = 1 << 20
 
 
 def _members(source: DataFrame, families: DataFrame, nodes: DataFrame, settings: JoinSettings) -> DataFrame:
     """node, family, n_shingles and keys (sorted hashes) of every node of a family, from one
-    document each. A bitmap of fixed size over hashed ids goes before the join, so that texts
-    without a partner are not shuffled."""
-    wanted = families.join(nodes, "node").select(F.col("node").alias("member"), F.col("root").alias("family"), "id")
+    document each. A bitmap of fixed size over hashed ids picks texts in the scan, so that only
+    the sets of those that may have a partner are shuffled."""
+    wanted = families.join(nodes, "node").select("node", F.col("root").alias("family"), F.col("id").alias("first"))
 
     def slot(c):
         return F.pmod(F.xxhash64(c), F.lit(_SLOTS)).cast("int")
 
-    bitmap = bytearray(_SLOTS)
-    for row in wanted.select(slot("id").alias("s")).distinct().toArrow()["s"].to_pylist():  # at most _SLOTS rows
-        bitmap[row] = 1
-    hit = F.substring(F.lit(bytes(bitmap)), slot("id") + 1, F.lit(1)) == F.lit(b"\x01")
-    chosen = source.where(hit).select("id", "text")
-    texts = chosen.join(wanted, chosen["id"].eqNullSafe(wanted["id"])).select("member", "family", "text")
-
-    def make():
-        def work(values: pa.Array) -> list[pa.Array]:
-            keys, sizes = shingle_sets(values, settings.n)
-            ends = np.concatenate([[0], np.cumsum(sizes)]) * 8
-            blob = pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(keys.tobytes())]
-            )
-            return [pa.array(node_hashes(keys, sizes)[0]), pa.array(sizes), blob.cast(pa.binary())]
-
-        return work
-
-    fields = [T.StructField("node", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("keys", T.BinaryType())]
-    found = map_texts(texts, "text", ["member", "family"], make, fields)
-    # an id may stand on several texts
-    return shared_table(found.where("node = member").select("node", "family", "n_shingles", "keys"), "jaccard-members")
+    bitmap = np.zeros(_SLOTS, bool)
+    bitmap[wanted.select(slot("first").alias("s")).distinct().toArrow()["s"].to_numpy()] = True  # at most _SLOTS rows
+    shared = source.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    fields = [
+        T.StructField("id", T.LongType()),
+        T.StructField("node", T.LongType()),
+        T.StructField("n_shingles", T.LongType()),
+        T.StructField("keys", T.BinaryType()),
+    ]
+    schema = T.StructType(fields)
+
+    def read(batches):
+        chosen = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            batch = batch.filter(pa.array(chosen[batch.column(1).to_numpy(zero_copy_only=False)]))
+            texts = pc.fill_null(batch.column(2), "")
+            for start, n in byte_slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), SLICE_BYTES):
+                keys, sizes = shingle_sets(pa.concat_arrays([texts.slice(start, n)]), settings.n)
+                ends = np.concatenate([[0], np.cumsum(sizes)]) * 8
+                blob = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), n, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(keys.tobytes())]
+                )
+                columns = [batch.column(0).slice(start, n), pa.array(node_hashes(keys, sizes)[0]), pa.array(sizes)]
+                yield pa.RecordBatch.from_arrays([*columns, blob.cast(pa.binary())], names=schema.names)
+
+    found = source.select("id", slot("id").alias("slot"), "text").mapInArrow(read, schema)
+    same = (found["node"] == wanted["node"]) & found["id"].eqNullSafe(wanted["first"])
+    members = found.join(wanted, same).select(found["node"], "family", "n_shingles", "keys")
+    return shared_table(members, "jaccard-members")
 
 
 def _links(members: DataFrame, families: DataFrame, settings: JoinSettings) -> DataFrame:
@@ -369,7 +388,7 @@ def _links(members: DataFrame, families: DataFrame, settings: JoinSettings) -> D
     block = F.explode(F.when(F.col("node") == F.col("family"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own)))
     placed = dealt.select("family", block.alias("block"), "node", "n_shingles", "keys", F.lit(False).alias("guest"))
     inside = shared_table(
-        placed.groupBy("family", "block").applyInArrow(_block_links(settings.percent, False), _LINKS), "jaccard-inside"
+        placed.repartition("family", "block").groupBy("family", "block").applyInArrow(_block_links(settings.percent, False), _LINKS), "jaccard-inside"
     )
     if not sizes.where(F.col("members") > settings.rows).take(1):
         return inside
@@ -388,7 +407,7 @@ def _links(members: DataFrame, families: DataFrame, settings: JoinSettings) -> D
     ).where("block != home").drop("home")
     lanes = guests.select("family", "lane").distinct()
     rows = hosts.join(lanes, "family").select("family", "block", "lane", "node", "n_shingles", "keys", "guest").unionByName(visits)
-    across = rows.groupBy("family", "block", "lane").applyInArrow(_block_links(settings.percent, True), _LINKS)
+    across = rows.repartition("family", "block", "lane").groupBy("family", "block", "lane").applyInArrow(_block_links(settings.percent, True), _LINKS)
     return inside.unionByName(across)
 
 
