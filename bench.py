@@ -11,6 +11,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 from contract.queries import REGISTRY
@@ -46,7 +47,7 @@ def main() -> int:
     cpus = os.environ.get("BENCH_CPUS", "8")
     chosen = os.environ.get("BENCH_QUERIES")
     names = chosen.split(",") if chosen else HEADLINE
-    spark = local_session("bench", cpus)
+    spark = local_session("bench", cpus, spark__checkpoint__dir=tempfile.mkdtemp(prefix="spark-"))
     spark.range(1000).mapInPandas(lambda it: it, "id long").count()
     seconds = {}
     for name in names:

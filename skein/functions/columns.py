@@ -30,10 +30,6 @@ def is_class(label: Column, name: str) -> Column:
     return (label == name).cast("int")
 
 
-def is_attack(label: Column, normal: str) -> Column:
-    return (label != normal).cast("int")
-
-
 def flag_pattern(flags: list[Column]) -> Column:
     """Boolean flags -> '101'."""
     return F.concat(*[f.cast("int").cast("string") for f in flags])
@@ -48,11 +44,6 @@ def strip_suffix(name: Column, tag: str) -> Column:
     return F.regexp_replace(name, rf" \({tag}\)", "")
 
 
-def file_name(name: Column) -> Column:
-    """``Random Forest`` -> ``random_forest``."""
-    return F.replace(F.lower(name), F.lit(" "), F.lit("_"))
-
-
 def provenance(feature: Column) -> Column:
     """Topology features carry a manifold prefix, all others are original."""
     topo = any_flag([feature.contains(f"{m}_") for m in MANIFOLDS])

@@ -37,7 +37,9 @@ def normal_stats(
 def zscore_detect(df: DataFrame, stats: DataFrame, sigma: float = SIGMA) -> DataFrame:
     """Add z-scores, per-group flags (z > sigma), their union and the pattern text.
 
-    ``stats`` is the fitted table of ``normal_stats``: one row per group.
+    ``stats`` is the fitted table of ``normal_stats``: one row per group. In a group whose normal
+    rows have no spread, z is infinite beside the mean and null at it. Flags are never null: a
+    row without a z-score is not flagged.
     """
     fitted = {r["manifold"]: r for r in stats.collect()}
     groups = [g for g in GROUPS if g in fitted]
@@ -45,11 +47,17 @@ def zscore_detect(df: DataFrame, stats: DataFrame, sigma: float = SIGMA) -> Data
     scores = {}
     for g in groups:
         mean, std = fitted[g]["mean"], fitted[g]["std"]
-        scores[f"{g}_zscore"] = F.try_divide(F.col(f"{g}_distance") - F.lit(mean), F.lit(std))
+        apart = F.col(f"{g}_distance") - F.lit(mean)
+        if std == 0:
+            scores[f"{g}_zscore"] = F.when(apart != 0, F.signum(apart) * F.lit(float("inf")))
+        else:
+            scores[f"{g}_zscore"] = apart / F.lit(std)
     flags = [f"{g}_anomaly" for g in groups]
     return (
         df.withColumns(scores)
-        .withColumns({f: F.col(f.replace("_anomaly", "_zscore")) > F.lit(sigma) for f in flags})
+        .withColumns({
+                f: F.coalesce(F.col(f.replace("_anomaly", "_zscore")) > F.lit(sigma), F.lit(False)) for f in flags
+            })
         .withColumn("anomaly_detected", any_flag([F.col(f) for f in flags]))
         .withColumn("pattern", flag_pattern([F.col(f) for f in flags]))
     )

@@ -85,12 +85,14 @@ def fit_forest(
     min_leaf: int = 2,
     seed: int = SEED,
 ) -> PipelineModel:
-    """Random forest; depths beyond Spark's cap of 30 are cut to it."""
+    """Random forest; Spark has no deeper trees than 30, so a greater depth raises an error."""
+    if max_depth > DEPTH_CAP:
+        raise ValueError(f"max_depth {max_depth} is over {DEPTH_CAP}")
     model = RandomForestClassifier(
         labelCol="label_index",
         weightCol="weight",
         numTrees=n_trees,
-        maxDepth=min(max_depth, DEPTH_CAP),
+        maxDepth=max_depth,
         minInstancesPerNode=min_leaf,
         featureSubsetStrategy="sqrt",
         impurity="gini",

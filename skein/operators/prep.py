@@ -255,10 +255,6 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return counts.select(label, "n", weight.alias("weight"))
 
 
-def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
-    return lookup_join(df, class_weights(df, label).select(label, "weight"), [label])
-
-
 def join_features(*tables: DataFrame, on: str = "flow_id") -> DataFrame:
     """Put the columns of several tables side by side by row id."""
     out = tables[0]

@@ -73,16 +73,6 @@ def bucketed_totals(
     return joined.drop(*[f"_{v}_off" for v in values])
 
 
-def running_totals(
-    df: DataFrame, column: str, values: list[str], cuts: list[float] | None = None
-) -> DataFrame:
-    """Exclusive running totals of ``values`` in ascending order of a numeric column."""
-    if cuts is None:
-        cuts = cut_points(df, [column])[column]
-    staged = with_order_bucket(df, column, cuts)
-    return bucketed_totals(staged, [], [F.col(column)], values).drop(BUCKET)
-
-
 def dense_position(df: DataFrame, column: str, out: str = "pos") -> DataFrame:
     """0-based row position in ascending order of a unique integer column."""
     span = df.agg(F.min(column), F.max(column), F.count(F.lit(1))).first()

@@ -34,8 +34,8 @@ def local_session(name: str = "skein", cpus: str = "*", **conf: str) -> SparkSes
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may
-    fall back to a folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session whose tasks run
+    in the driver's own process may fall back to a folder of its own.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -43,7 +43,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
     context.setCheckpointDir(named)

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -12,9 +13,10 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from skein.session import local_session
 
-    session = local_session("tests", "8")
-    yield session
-    session.stop()
+    with tempfile.TemporaryDirectory(prefix="spark-") as folder:
+        session = local_session("tests", "8", spark__checkpoint__dir=folder)
+        yield session
+        session.stop()
 
 
 @pytest.fixture(scope="session")

@@ -166,7 +166,13 @@ def test_threshold_is_strict_and_zero_spread_is_null(spark):
     stats = detect.normal_stats(df)
     got = {r["flow_id"]: r for r in detect.zscore_detect(df, stats).collect()}
     assert got[3]["c2_zscore"] == pytest.approx(3.0)
-    assert got[3]["network_zscore"] is None
+    assert got[3]["network_zscore"] is None and got[3]["network_anomaly"] is False
+    assert got[1]["pattern"] == "000" and got[1]["anomaly_detected"] is False
+    moved = df.withColumn("network_distance", F.when(F.col("flow_id") == 3, F.lit(2.0)).when(F.col("flow_id") == 1, F.lit(0.5)))
+    seen = {r["flow_id"]: r for r in detect.zscore_detect(moved, stats).collect()}
+    assert seen[3]["network_zscore"] == math.inf and seen[3]["network_anomaly"]
+    assert seen[1]["network_zscore"] == -math.inf and seen[2]["network_zscore"] is None
+    assert not any(r[c] is None for r in seen.values() for c in ("anomaly_detected", "pattern", "network_anomaly"))
     assert got[3]["physical_anomaly"] and got[3]["anomaly_detected"]
 
 
