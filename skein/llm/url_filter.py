@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from skein.llm.common import UPPER, col, flat_bytes, free_name, ragged
 
 #: (verdict, host, path): fixed values.
-RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr"))
+RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
 @dataclass(frozen=True)

@@ -266,6 +266,9 @@ def test_urls(spark):
         rule = max(fits, key=lambda f: len(f[0]), default=(None, None))
         assert (got[k]["host"], got[k]["path"], got[k]["rule"]) == (host, path, rule[0])
         assert got[k]["verdict"] == (rule[1] or ("block" if got[k]["block_score"] >= 0.5 else "allow"))
+    rule_of = {u: got[k]["rule"] for k, u in enumerate(urls)}
+    assert rule_of["https://a.org/fr"] is None and rule_of["http://www.s1.example.org/fr/1"] == "org/fr/"
+    assert rule_of["http://www.s1.example.net/en/1"] == "example.net/en/" and rule_of["http://example.com/de/1"] == "example.com/de/"
     right = [r["verdict"] == ("block" if r["block_score"] >= 0.5 else "allow") for r in got.values() if r["rule"]]
     assert np.mean(right) > 0.95
     assert url_filter.filter_urls(pages.limit(0), keep=["page_id"]).count() == 0
