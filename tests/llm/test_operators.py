@@ -140,6 +140,17 @@ def test_repetition(docs, rows, empty):
     assert repetition.judge_repetition(empty, prefix="q_").count() == 0
 
 
+@pytest.mark.parametrize("share, kept", [(0.40, False), (0.32, False), (0.20, True)])
+def test_repeated_10_grams_below_the_base_rule(spark, share, kept):
+    half = int(200 * share / 2)
+    w = [f"w{k:05d}" for k in range(200 - half)]
+    text = " ".join(w + w[20 : 20 + half])
+    *_, failed, cover = plain_repetition(text)
+    assert not failed and cover[-1] == pytest.approx(share)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [r["kept"] for r in repetition.judge_repetition(docs).collect()] == [kept]
+
+
 def plain_jaccard(rows):
     sets = []
     for i, t, *_ in rows:
