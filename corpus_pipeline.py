@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from skein.llm import decontaminate, jaccard, packing, repetition, toxicity
 from skein.llm.common import col, free_name, id_bucket, shared_table
 
+#: Near copies share 80 % of their 5-word shingles; the defaults of op8_jaccard_join hold for that query alone.
+NEAR_COPIES = jaccard.JoinSettings(n=5, percent=80)
+
 #: SQL cannot express compression lengths; run() is tested against a brute-force version.
 ORACLE_SQL = None
 
@@ -43,8 +46,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of alike n-gram sets stays."""
-    return jaccard.keep_one(docs)
+    """One document of each group of alike sets of 5-word shingles stays."""
+    return jaccard.keep_one(docs, settings=NEAR_COPIES)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

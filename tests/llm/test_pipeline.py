@@ -89,3 +89,35 @@ def test_stages_equal_plain_ones(spark, fixture):
             assert at == end
             end += n
         assert size == min(s for s in packing.PackingSettings().sizes if s >= end)
+
+
+def plain_near_copies(rows, n=5, percent=80):
+    """The ids that stay: the least one of each component of linked shingle sets."""
+    sets = []
+    for i, t in rows:
+        w = words(t.lower())
+        sets.append((i, {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))}))
+    root = {i: i for i, _ in sets}
+    for a, x in sets:
+        for b, y in sets:
+            if a < b and 100 * len(x & y) >= percent * len(x | y):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {k: new if v == old else v for k, v in root.items()}
+    return {i for i, r in root.items() if i == r}
+
+
+def changed(text, at):
+    w = text.split()
+    for k in at:
+        w[k] = f"changed{k}"
+    return " ".join(w)
+
+
+def test_near_copies_are_judged_on_5_words_and_80_percent(spark):
+    base = [prose(300 + k, 200) for k in range(4)]
+    texts = [*base, changed(base[0], (20, 70, 120, 170)), changed(base[1], range(10, 200, 30)), changed(base[2], (50,)), base[3], "one two three four"]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_near_copies(rows)
+    assert 4 not in want and 4 in plain_near_copies(rows, 3, 90) and 5 in want
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == want
