@@ -10,8 +10,10 @@ A text is read in windows of one word between the same marks. The gain of a wind
 compressed length under the ordinary dictionary less that under the toxic one: a word that the
 toxic dictionary holds is one match together with both marks, any other costs two matches and
 its letters. How often each gain occurs in toxic and in ordinary training documents gives a
-log likelihood ratio per gain, and a logistic regression on a document's sum, mean, maximum, top
-three, number of windows and their squares gives its score; 0.5 is the calibrated threshold.
+log likelihood ratio per gain (0 for gains that training never saw). A logistic regression with
+weights of 0 or more on a document's mean ratio, top three and maximum gives its score; 0.5 is the
+calibrated threshold. No feature is a sum over the document and none is squared, so a text is not
+flagged for its length alone.
 
 Labels are used from at most ``toxic_rows`` and ``ordinary_rows`` labelled documents (those with
 the smallest hashes of their ids). Words are runs of letters and bytes outside ASCII, A-Z
@@ -115,20 +117,20 @@ class ToxicityModel:
     ordinary: bytes = b""
     toxic: bytes = b""
     ratio: np.ndarray = field(default_factory=lambda: np.zeros(_GAINS))
-    centre: np.ndarray = field(default_factory=lambda: np.zeros(5))
-    spread: np.ndarray = field(default_factory=lambda: np.ones(5))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(11))
+    centre: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    spread: np.ndarray = field(default_factory=lambda: np.ones(3))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
     constant: float | None = None  # the score of every text, where nothing can be learnt
 
     def features(self, histograms: np.ndarray) -> np.ndarray:
         number = histograms.sum(1)
-        total = histograms @ self.ratio
+        mean = histograms @ self.ratio / np.maximum(number, 1)
         order = np.argsort(-self.ratio, kind="stable")
         behind = np.cumsum(histograms[:, order], 1)
         in_top = np.diff(np.minimum(behind, 3), prepend=0, axis=1)
         first = np.argmax(behind > 0, 1)
         most = np.where(number > 0, self.ratio[order][first], 0.0)
-        return np.stack([total, np.log1p(number), in_top @ self.ratio[order], most, total / np.maximum(number, 1)], 1)
+        return np.stack([mean, in_top @ self.ratio[order], most], 1)
 
     def score(self, histograms: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -136,9 +138,26 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.design(histograms) @ self.weights, -500, 500)))
 
     def design(self, histograms: np.ndarray) -> np.ndarray:
-        """Features in standard units, their squares, and 1; far values are held at 6."""
+        """Features in standard units, and 1; far values are held at 6."""
         z = np.clip((self.features(histograms) - self.centre) / self.spread, -6, 6)
-        return np.concatenate([z, z * z, np.ones((len(z), 1))], 1)
+        return np.concatenate([z, np.ones((len(z), 1))], 1)
+
+
+def monotone_fit(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression with weights of 0 or more; the last column is the constant. A feature
+    whose weight comes out below 0 is left out, the lowest first."""
+    weights, used = np.zeros(z.shape[1]), np.arange(z.shape[1])
+    while True:
+        part, found = z[:, used], np.zeros(len(used))
+        ridge = np.diag([*[0.5] * (len(used) - 1), 1e-6])
+        for _ in range(40):  # Newton's method on the penalised likelihood
+            p = 1 / (1 + np.exp(-np.clip(part @ found, -30, 30)))
+            slope = part.T @ (p - y) + ridge @ found
+            found -= np.linalg.solve(part.T @ (part * (p * (1 - p))[:, None]) + ridge, slope)
+        if len(used) == 1 or found[:-1].min() >= 0:
+            weights[used] = found
+            return weights
+        used = np.delete(used, np.argmin(found[:-1]))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, settings: ToxicitySettings) -> DataFrame:
@@ -244,17 +263,14 @@ def train(
         sample.unpersist()
     y = np.array([r["label"] for r in rows], float)
     x = np.array([r["h"] for r in rows], float)
-    seen = [x[y == k].sum(0) + 1 for k in (0, 1)]
-    model = ToxicityModel(ordinary, toxic, np.log(seen[1] / seen[1].sum()) - np.log(seen[0] / seen[0].sum()))
+    seen = [x[y == k].sum(0) for k in (0, 1)]
+    total = sum(k.sum() for k in seen) + 1e-9
+    # the same rate is added to both kinds, so that a gain that neither has says nothing
+    rates = [(k + (k.sum() + 1e-9) / total) / (k.sum() + _GAINS * (k.sum() + 1e-9) / total + 1e-9) for k in seen]
+    model = ToxicityModel(ordinary, toxic, np.log(rates[1]) - np.log(rates[0]))
     features = model.features(x)
     model.centre, model.spread = features.mean(0), features.std(0) + 1e-9
-    z = model.design(x)
-    weights, ridge = np.zeros(z.shape[1]), np.diag([*[0.5] * (z.shape[1] - 1), 1e-6])
-    for _ in range(40):  # Newton's method on the penalised likelihood
-        p = 1 / (1 + np.exp(-np.clip(z @ weights, -30, 30)))
-        slope = z.T @ (p - y) + ridge @ weights
-        weights -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, slope)
-    model.weights = weights
+    model.weights = monotone_fit(model.design(x), y)
     return model
 
 

@@ -121,3 +121,10 @@ def test_near_copies_are_judged_on_5_words_and_80_percent(spark):
     want = plain_near_copies(rows)
     assert 4 not in want and 4 in plain_near_copies(rows, 3, 90) and 5 in want
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == want
+
+
+def test_long_clean_texts_stay(spark, fixture):
+    sf_dir, rows, *_ = fixture
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, sf_dir).collect()}
+    assert 96 in kept and {r[0] for r in rows} - kept == set(range(0, 90, 3))
