@@ -1,8 +1,8 @@
 """URL filter: host and path rules, and a logistic regression for what no rule covers.
 
 The model sees hashed character n-grams of the host and of the path (marked apart, ends marked)
-and learns from a small labelled URL table: the pages that a rule judges, at most ``train_rows``
-of them, those with the smallest hashes of host and path. Each n-gram that a URL has counts
+and learns from a small labelled URL table: the distinct URLs that a rule judges, at most half of
+``train_rows`` of each verdict, those with the smallest hashes of host and path. Each n-gram that a URL has counts
 once; vectors have length one. Training is full-batch gradient descent in numpy, the same for
 the same table. With labels of one kind alone the method gives that verdict, with none it allows.
 
@@ -131,11 +131,15 @@ def filter_urls(
     inner = [free_name(pages, n) for n in ("host_of_row", "path_of_row", "rule_of_row", "verdict_of_row")]
     parts = pages.select(*[col(c) for c in keep], h.alias(inner[0]), p.alias(inner[1]))
     judged = with_rule(parts, *inner, rules=rules)
-    order = F.xxhash64(col(inner[0]), col(inner[1]))
-    labelled = judged.where(col(inner[3]).isNotNull()).orderBy(order, col(inner[0]), col(inner[1])).limit(settings.train_rows)
-    table = labelled.select(
+    # a URL counts once however many rows have it, and each label has its own half of the rows
+    labelled = judged.where(col(inner[3]).isNotNull()).select(
         col(inner[0]).alias("host"), col(inner[1]).alias("path"), (col(inner[3]) == "block").cast("int").alias("block")
-    ).toArrow()
+    ).distinct()
+    halves = [
+        labelled.where(F.col("block") == kind).orderBy(F.xxhash64("host", "path"), "host", "path").limit(settings.train_rows // 2)
+        for kind in (0, 1)
+    ]
+    table = halves[0].unionByName(halves[1]).toArrow()
     shared = pages.sparkSession.sparkContext.broadcast(train(table, settings))
     schema = T.StructType(
         [judged.schema[c] for c in keep]

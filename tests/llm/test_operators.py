@@ -285,6 +285,13 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0), keep=["page_id"]).count() == 0
 
 
+def test_url_training_rows_are_distinct_and_of_both_kinds(spark):
+    urls = [f"http://h{k}.net/{k}" for k in range(40)] * 10 + ["http://a.org/fr/x", "http://free.info/", "http://www.other.info/a"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.filter_urls(pages, settings=url_filter.UrlModelSettings(train_rows=4)).collect()
+    assert len(got) == len(urls) and len({r["block_score"] for r in got}) > 2
+
+
 def test_language(spark):
     r = random.Random(2)
     parts = {"aa": ["kla", "mo", "tik", "ru"], "bb": ["sche", "ung", "ver", "lich"], "cc": ["при", "вет", "мир"]}
