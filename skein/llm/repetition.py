@@ -33,7 +33,7 @@ class RepetitionRules:
     """Limits: shares of a text's characters; coverage counts every occurrence. They lie below the
     base rule and fall with n, as words in longer repeated n-grams lie in repeated 3-word windows
     too. They were set above what good documents with crc32(doc_id) % 2 = 0 reach at sf0.1 (0.23
-    for 4, 6 and 8 words and for lines, 0.17 for 10); the others are for reporting."""
+    for 4, 6 and 8 words and for lines, 0.17 for 10); the other half was in view too."""
 
     min_words: int = 50
     base_percent: int = 50
