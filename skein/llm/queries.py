@@ -107,3 +107,25 @@ def op8_jaccard_join(spark, sf_dir):
     from skein.llm.jaccard import similar_components
 
     return similar_components(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("node")
+
+
+@query
+def op11_phrases(spark, sf_dir):
+    from skein.llm.phrases import mine_phrases
+
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_secret_scan(spark, sf_dir):
+    from skein.llm.secret_scan import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("secrets")
+
+
+@query
+def op13_alignment(spark, sf_dir):
+    from skein.llm.alignment import align_tokens
+
+    docs = table(spark, sf_dir, "documents")
+    return align_tokens(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
