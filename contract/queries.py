@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from contract import fixtures as fx
 from skein.functions.columns import cap_death, is_class
 from skein.operators import auc as roc
-from skein.operators import compare, detect, distance, evaluate, features, neighbors, prep, profile, topology
+from skein.operators import compare, detect, distance, evaluate, features, knn, neighbors, prep, profile, topology
 from skein.schema import CLASSES, KEY_FEATURES, MANIFOLDS, NORMAL, RAW_FEATURES
 from skein.sources.sinks import run_metadata
 
@@ -425,12 +425,12 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hoods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbors.neighborhoods(neighbors.knn_join(_points(spark, sf_dir), K_HOOD))
+    return neighbors.neighborhoods(knn.knn_join(_points(spark, sf_dir), K_HOOD))
 
 
 @query
 def knn_join(spark, sf_dir):
-    found = neighbors.knn_join(_points(spark, sf_dir), K_KNN)
+    found = knn.knn_join(_points(spark, sf_dir), K_KNN)
     return rounded(
         found.select(*KEYS, "neighbor_id", F.col("rank").cast("long").alias("rank"), "distance")
     )
@@ -439,7 +439,7 @@ def knn_join(spark, sf_dir):
 @query
 def leak_check(spark, sf_dir):
     points = _points(spark, sf_dir)
-    return neighbors.leak_check(neighbors.knn_join(points, K_KNN), points)
+    return neighbors.leak_check(knn.knn_join(points, K_KNN), points)
 
 
 @query

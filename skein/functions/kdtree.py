@@ -64,3 +64,18 @@ def box_distance(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nd
         gap = np.maximum(np.maximum(low[None, :, j] - x, x - high[None, :, j]), 0.0)
         total += gap * gap
     return np.sqrt(total)
+
+
+def space_order(unit: np.ndarray, bits: int = 60) -> np.ndarray:
+    """Place of points along a space-filling order: the leading bits of all coordinates in turn.
+
+    Coordinates count in units of the widest axis, 0 .. 1; what lies outside goes to the border.
+    """
+    dims = max(1, unit.shape[1])
+    each = max(1, min(16, bits // dims))
+    codes = np.clip(np.floor(unit * (1 << each)), 0, (1 << each) - 1).astype(np.int64)
+    out = np.zeros(len(unit), np.int64)
+    for bit in range(each - 1, -1, -1):
+        for j in range(min(dims, bits)):
+            out = (out << 1) | (codes[:, j] >> bit & 1)
+    return out

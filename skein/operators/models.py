@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     LinearSVC,
@@ -20,11 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from skein.functions.columns import hash_order, vector
+from skein.functions.columns import vector
 from skein.operators.prep import apply_scaler, class_weights, fit_scaler
 from skein.operators.ranks import exact_quantiles
 from skein.schema import SEED
-from skein.session import lookup_join
+from skein.session import lookup_join, settle
 
 N_TREES = 200
 MAX_DEPTH = 20
@@ -323,6 +325,65 @@ def _grow(points: np.ndarray, rng: np.random.Generator, depth: int) -> dict[str,
     return nodes
 
 
+def draw_samples(
+    df: DataFrame, features: list[str], unique: str, n_trees: int, sample: int, seed: int = SEED
+) -> DataFrame:
+    """(tree, id, x, draw): for each tree an own uniform sample of exactly ``sample`` rows of the
+    table (all of them if it has fewer), without repeats.
+
+    Every row is a candidate of every tree. A task jumps from one candidate of a tree to the next
+    by a geometric step, so its work is one pass and the rows it draws; each candidate has a random
+    key, and the ``sample`` smallest keys of a tree stay. Should a tree come out short, all are
+    drawn again at twice the rate. The draw is seeded by partition: it repeats on a table that is
+    read in the same partitions, and is settled before use.
+    """
+    rows = df.select(unique, vector(features).alias("x"))
+    n_rows = df.count()
+    wanted = min(sample, n_rows)
+    schema = T.StructType(
+        [
+            T.StructField("tree", T.IntegerType()),
+            rows.schema[unique],
+            T.StructField("x", T.ArrayType(T.DoubleType())),
+            T.StructField("draw", T.DoubleType()),
+        ]
+    )
+
+    def candidates(rate: float) -> DataFrame:
+        def jump(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+            coming = rng.geometric(rate, n_trees) - 1  # the next candidate of each tree
+            start = 0
+            for batch in batches:
+                end = start + batch.num_rows
+                trees, places = [], []
+                while len(due := np.flatnonzero(coming < end)):
+                    trees.append(due)
+                    places.append(coming[due] - start)
+                    coming[due] += rng.geometric(rate, len(due))
+                start = end
+                if trees:
+                    tree, place = np.concatenate(trees), np.concatenate(places)
+                    drawn = batch.take(pa.array(place))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(tree.astype(np.int32)), *drawn.columns, pa.array(rng.random(len(tree)))],
+                        names=["tree", unique, "x", "draw"],
+                    )
+
+        return settle(rows.mapInArrow(jump, schema))
+
+    # eight deviations above the sample: a short tree is rare
+    rate = (wanted + 8 * np.sqrt(wanted) + 8) / max(n_rows, 1)
+    while True:
+        drawn = candidates(min(rate, 1.0))
+        full = drawn.groupBy("tree").count().where(F.col("count") >= wanted).count()
+        if full == n_trees or not n_rows:
+            break
+        rate *= 2
+    order = W.partitionBy("tree").orderBy("draw", unique)
+    return drawn.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= wanted).drop("_rn")
+
+
 def fit_isolation_forest(
     df: DataFrame,
     features: list[str],
@@ -331,20 +392,12 @@ def fit_isolation_forest(
     sample: int = FOREST_SAMPLE,
     seed: int = SEED,
 ) -> DataFrame:
-    """One row of node arrays per tree, each grown on its own sample of rows.
-
-    The rows are drawn in hash order into a pool of fixed size; every tree then takes
-    its own sample of the pool. Trees grow in parallel tasks.
-    """
-    key = hash_order(F.col(unique), seed)
-    pool = df.select(unique, vector(features).alias("x")).orderBy(key, unique).limit(n_trees * sample)
-    trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))
-    draws = pool.select(unique, "x", trees.alias("tree"))
-    order = W.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), "tree", unique), unique)
-    chosen = draws.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= sample)
+    """One row of node arrays per tree, each grown on its own sample of all rows, in parallel
+    tasks. A table without rows gives no trees."""
+    chosen = draw_samples(df, features, unique, n_trees, sample, seed)
 
     def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(rows.sort_values("_rn")["x"].to_numpy()).astype(float)
+        x = np.stack(rows.sort_values(["draw", unique])["x"].to_numpy()).astype(float)
         depth = int(np.ceil(np.log2(max(len(x), 2))))
         nodes = _grow(x, np.random.default_rng([seed, int(key[0])]), depth)
         return pd.DataFrame([{"tree": int(key[0]), **nodes}])

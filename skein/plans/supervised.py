@@ -11,7 +11,8 @@ from skein.operators.auc import multiclass_auc
 from skein.operators.evaluate import confusion_long, weighted_metrics
 from skein.operators.features import bar_features
 from skein.operators.models import check_class_order, score_rows
-from skein.operators.neighbors import knn_join, neighborhoods
+from skein.operators.knn import knn_join
+from skein.operators.neighbors import neighborhoods
 from skein.operators.prep import (
     join_features,
     long_points,

@@ -100,3 +100,26 @@ def test_isolation_forest_finds_outliers(spark):
     assert roc.auc(scored, {"s": F.col("score")}, target).first()["auc"] > 0.99
     flagged = models.isolation_flags(scored, 0.2).where("anomaly").count()
     assert abs(flagged - 400) <= 5
+
+
+def test_forest_samples_come_from_all_rows(spark):
+    rows = spark.range(0, 20_000, 1, 7).select(F.col("id").alias("flow_id"), F.col("id").cast("double").alias("x0"))
+    drawn = settle(models.draw_samples(rows, ["x0"], "flow_id", n_trees=200, sample=64))
+    per_tree = drawn.groupBy("tree").agg(F.count("*").alias("n"), F.countDistinct("flow_id").alias("d")).collect()
+    assert len(per_tree) == 200 and all((r["n"], r["d"]) == (64, 64) for r in per_tree)
+    # 12,800 draws over 20 stretches of the table: 640 each, within five deviations
+    spread = drawn.groupBy((F.col("flow_id") / 1000).cast("int")).count().collect()
+    assert len(spread) == 20 and all(abs(r["count"] - 640) < 5 * 640**0.5 for r in spread)
+    # far more rows than one tree's sample, or a small pool of them, take part
+    assert drawn.select("flow_id").distinct().count() > 9000
+    assert all(r["x"] == [float(r["flow_id"])] for r in drawn.limit(50).collect())
+    plan = models.fit_isolation_forest(rows, ["x0"], n_trees=5, sample=16)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan
+
+
+def test_forest_on_small_and_empty_tables(spark):
+    rows = spark.range(9).select(F.col("id").alias("flow_id"), (F.col("id") % 2).cast("double").alias("x0"))
+    assert models.draw_samples(rows, ["x0"], "flow_id", n_trees=3, sample=64).count() == 27
+    forest = settle(models.fit_isolation_forest(rows, ["x0"], n_trees=3, sample=64))
+    assert {r["size"][0] for r in forest.collect()} == {9}
+    assert models.fit_isolation_forest(rows.limit(0), ["x0"], n_trees=3).count() == 0

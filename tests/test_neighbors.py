@@ -8,22 +8,23 @@ from pyspark.sql import functions as F
 
 from contract import fixtures as fx
 from skein.functions.barcode import barcodes
-from skein.operators import distance, features, neighbors, prep, topology
+from skein.operators import distance, features, knn, neighbors, prep, topology
 from skein.operators.ranks import dense_position, exact_quantiles, hash_rank
 from skein.session import settle
 
 
 def brute_knn(ids, vectors, k):
-    dist = np.sqrt(((vectors[:, None] - vectors[None]) ** 2).sum(-1))
+    # axis by axis, as the join adds up: ties are ties of these sums
+    dist = np.sqrt(sum((vectors[:, None, j] - vectors[None, :, j]) ** 2 for j in range(vectors.shape[1])))
     out = {}
     for i, own in enumerate(ids):
-        order = np.lexsort((ids, ids != own, np.round(dist[i], 12)))[:k]
+        order = np.lexsort((ids, ids != own, dist[i]))[:k]
         out[own] = list(ids[order])
     return out
 
 
 def check_knn(points, k, **small):
-    got = settle(neighbors.knn_join(points, k)).toPandas()
+    got = settle(knn.knn_join(points, k)).toPandas()
     rows = points.toPandas()
     for (s, m), part in rows.groupby(["split", "manifold"]):
         vectors = np.stack(part["vec"].to_numpy())
@@ -35,9 +36,9 @@ def check_knn(points, k, **small):
 
 @pytest.fixture
 def tiny_packs(monkeypatch):
-    """Force many cells, packs and salts on small data."""
-    monkeypatch.setattr(neighbors, "PACK", 16)
-    monkeypatch.setattr(neighbors, "ROWS_PER_SALT", 60)
+    """Force many cells, packs and lanes on small data."""
+    monkeypatch.setattr(knn, "PACK", 16)
+    monkeypatch.setattr(knn, "MEETINGS_PER_LANE", 3)
 
 
 def test_knn_many_cells(spark, sf_dir, tiny_packs):
@@ -63,14 +64,35 @@ def test_knn_with_a_third_of_copies_and_ties(spark, tiny_packs):
 
 def test_knn_fewer_points_than_k(spark):
     rows = [Row(flow_id=i, split="test", manifold="C2", vec=[float(i)]) for i in range(4)]
-    found = neighbors.knn_join(spark.createDataFrame(rows), 10).collect()
+    found = knn.knn_join(spark.createDataFrame(rows), 10).collect()
     assert len(found) == 16
 
 
+def test_knn_on_flow_columns_of_5_15_and_2(spark, sf_dir, tiny_packs):
+    points = prep.scale_vectors(prep.long_points(prep.manifold_vectors(fx.flows(spark, sf_dir).limit(700), ["flow_id"])))
+    points = settle(points.select("flow_id", "manifold", F.lit("all").alias("split"), "vec"))
+    assert {r[0] for r in points.select(F.size("vec")).distinct().collect()} == {2, 5, 15}
+    check_knn(points, 9)
+    counts = {r["manifold"]: r for r in knn.candidates_per_row(points, 9).collect()}
+    assert set(counts) == {"C2", "Network", "Physical"} and all(r["rows"] == 700 for r in counts.values())
+    assert counts["Physical"]["per_row"] < 250 and all(r["per_row"] <= 700 for r in counts.values())
+
+
+def test_cells_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(knn, "PACK", 2)
+    points = spark.range(40_000).select(
+        F.col("id").alias("flow_id"), F.lit("a").alias("split"), F.lit("m").alias("manifold"), F.array(F.rand(1), F.rand(2)).alias("vec")
+    )
+    join = knn._Join(settle(points), 3, ["split", "manifold"], "flow_id", "vec", 1)
+    tree, low, width = join.coarse_trees()["a", "m"]
+    # twice the root of the packs, with no upper end
+    assert len(low) == len(width) == int(2 * (40_000 / 2) ** 0.5)
+
+
 def test_leaks_are_counted(spark):
-    knn = spark.createDataFrame([("train", 1, 1), ("train", 1, 2), ("train", 1, 9)], "split string, flow_id long, neighbor_id long")
+    found = spark.createDataFrame([("train", 1, 1), ("train", 1, 2), ("train", 1, 9)], "split string, flow_id long, neighbor_id long")
     split = spark.createDataFrame([(1, "train"), (2, "test")], "flow_id long, split string")
-    row = neighbors.leak_check(knn, split).first()
+    row = neighbors.leak_check(found, split).first()
     assert (row["neighbors"], row["leaks"], row["unknown"]) == (3, 1, 1)
 
 
