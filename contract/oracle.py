@@ -651,18 +651,52 @@ ORACLE["bars_cap"] = with_(
     f"""SELECT split, manifold, count(*) AS n_bars, count(*) FILTER (death = 5.0) AS n_capped,
     {r('sum(death - birth)', 4)} AS total_life FROM h0 GROUP BY split, manifold""",
 )
+# H1: columns of bit masks (edges over points, triangles over edges) in filtration order, reduced
+# one addition at a time: a column whose lowest mark is new is paired with it, any other takes the
+# earlier column with the same lowest mark.
+H1 = (
+    "RECURSIVE "
+    + H0
+    + f""", er AS (SELECT *, row_number() OVER (PARTITION BY {_keys} ORDER BY length, i, j) - 1 AS e FROM edges WHERE length <= 5.0),
+tri AS (SELECT a.split, a.manifold, a.flow_id, greatest(a.length, b.length, c.length) AS value, greatest(a.e, b.e, c.e) AS top,
+    (CAST(1 AS BIGINT) << a.e) | (CAST(1 AS BIGINT) << b.e) | (CAST(1 AS BIGINT) << c.e) AS mask
+  FROM er a JOIN er b ON {_same.format('a', 'b')} AND b.i = a.j JOIN er c ON {_same.format('a', 'c')} AND c.i = a.i AND c.j = b.j),
+cols AS (SELECT {_keys}, 1 AS over, list((CAST(1 AS BIGINT) << i) | (CAST(1 AS BIGINT) << j) ORDER BY e) AS masks, list(length ORDER BY e) AS vals
+    FROM er GROUP BY {_keys}
+  UNION ALL SELECT {_keys}, 2, list(mask ORDER BY top, mask), list(value ORDER BY top, mask) FROM tri GROUP BY {_keys}),
+steps AS (SELECT {_keys}, over, 1 AS k, masks[1] AS col, CAST({[0] * (K_HOOD * (K_HOOD - 1) // 2)} AS BIGINT[]) AS pivots,
+    -1 AS low, 0 AS paired FROM cols
+  UNION ALL SELECT {_keys}, over,
+    CASE WHEN free OR col = 0 THEN k + 1 ELSE k END,
+    CASE WHEN free OR col = 0 THEN masks[k + 1] ELSE xor(col, pivots[top]) END,
+    CASE WHEN free AND col <> 0 THEN list_concat(list_append(pivots[:top - 1], col), pivots[top + 1:]) ELSE pivots END,
+    CASE WHEN free AND col <> 0 THEN top - 1 ELSE -1 END,
+    CASE WHEN free AND col <> 0 THEN k ELSE 0 END
+  FROM (SELECT *, pivots[top] = 0 AS free FROM (SELECT *, CASE WHEN col = 0 THEN 1 ELSE CAST(floor(log2(col)) AS INT) + 1 END AS top
+    FROM steps JOIN cols USING ({_keys}, over) WHERE k <= len(masks)))),
+paired AS (SELECT {_keys}, over, low, steps.paired AS k, vals[steps.paired] AS value FROM steps JOIN cols USING ({_keys}, over) WHERE low >= 0),
+h1_all AS (SELECT {_keys}, er.length AS birth, p.value AS death FROM er JOIN paired p USING ({_keys}) WHERE p.over = 2 AND p.low = er.e
+  UNION ALL SELECT {_keys}, er.length, 5.0 FROM er WHERE NOT EXISTS (SELECT 1 FROM paired p
+    WHERE {_same.format('p', 'er')} AND (p.over = 2 AND p.low = er.e OR p.over = 1 AND p.k = er.e + 1))),
+h1 AS (SELECT {_keys}, 1 AS dim, CAST(birth AS DOUBLE) AS birth, CAST(death AS DOUBLE) AS death FROM h1_all WHERE death > birth),
+bars AS (SELECT * FROM h0 UNION ALL SELECT {_keys}, dim, birth, death FROM h1)"""
+)
+ORACLE["h1_bars"] = with_(H1, f"SELECT {_keys}, dim, {r('birth')} AS birth, {r('death')} AS death FROM h1")
 ORACLE["bars_by_dim"] = with_(
-    H0, f"SELECT {_keys}, count(*) AS n_h0, {n('0')} AS n_h1, {r('max(death)')} AS last_death FROM h0 GROUP BY {_keys}"
+    H1,
+    f"""SELECT {_keys}, count(*) FILTER (dim = 0) AS n_h0, count(*) FILTER (dim = 1) AS n_h1,
+    {r('max(death) FILTER (dim = 0)')} AS last_death FROM bars GROUP BY {_keys}""",
 )
 ORACLE["diagram_summary"] = with_(
-    H0 + ", rows_ AS (SELECT split, manifold, count(*) AS k FROM points GROUP BY split, manifold)",
-    f"""SELECT manifold, split, dim, count(*) AS n_bars, {r('CAST(count(*) AS DOUBLE) / any_value(k)')} AS mean_bars,
-    {r('avg(death)')} AS mean_life, {r('max(death)')} AS max_life
-    FROM h0 JOIN rows_ USING (split, manifold) GROUP BY manifold, split, dim""",
+    H1 + ", rows_ AS (SELECT split, manifold, count(*) AS k FROM points GROUP BY split, manifold)",
+    f"""SELECT manifold, split, dim, count(birth) AS n_bars, {r('CAST(count(birth) AS DOUBLE) / any_value(k)')} AS mean_bars,
+    {r('coalesce(avg(death - birth), 0)')} AS mean_life, {r('coalesce(max(death - birth), 0)')} AS max_life
+    FROM (SELECT *, CAST(unnest(range(3)) AS INT) AS dim FROM rows_) LEFT JOIN bars USING (split, manifold, dim)
+    GROUP BY manifold, split, dim""",
 )
 ORACLE["diagram_by_class"] = with_(
-    H0 + f", per AS (SELECT {_keys}, count(*) AS k FROM h0 GROUP BY {_keys})",
-    f"""SELECT manifold, split, c, {r('avg(k)')} AS mean_h0_bars, CAST(0 AS DOUBLE) AS mean_h1_bars
+    H1 + f", per AS (SELECT {_keys}, count(*) FILTER (dim = 0) AS k, count(*) FILTER (dim = 1) AS k1 FROM bars GROUP BY {_keys})",
+    f"""SELECT manifold, split, c, {r('avg(k)')} AS mean_h0_bars, {r('avg(k1)')} AS mean_h1_bars
     FROM per JOIN points USING (split, manifold, flow_id) GROUP BY manifold, split, c""",
 )
 
@@ -672,27 +706,27 @@ def feature_columns() -> str:
     for m in MANIFOLDS:
         for d in HOMOLOGY_DIMS:
             for s in BAR_STATISTICS:
-                value = f"max(CASE WHEN manifold = '{m}' THEN {s} END)" if d == 0 else "0"
+                value = f"max(CASE WHEN manifold = '{m}' AND dim = {d} THEN {s} END)"
                 out.append(f"{r(f'coalesce({value}, 0)', 5)} AS \"{m}_H{d}_{s}\"")
     return ", ".join(out)
 
 
 ORACLE["bar_features"] = with_(
-    H0
-    + """, tot AS (SELECT split, manifold, flow_id, sum(death) AS t FROM h0 GROUP BY ALL),
-stats AS (SELECT manifold, flow_id, CAST(count(*) AS DOUBLE) AS count, avg(death) AS mean_persistence,
-  stddev_pop(death) AS std_persistence, max(death) AS max_persistence, sum(death) AS total_persistence,
-  CAST(0 AS DOUBLE) AS mean_birth, avg(death) AS mean_death,
-  -sum(death / t * ln(death / t + 1e-10)) AS entropy
-  FROM h0 JOIN tot USING (split, manifold, flow_id) GROUP BY manifold, flow_id)""",
+    H1
+    + """, tot AS (SELECT split, manifold, flow_id, dim, sum(death - birth) AS t FROM bars GROUP BY ALL),
+stats AS (SELECT manifold, flow_id, dim, CAST(count(*) AS DOUBLE) AS count, avg(death - birth) AS mean_persistence,
+  stddev_pop(death - birth) AS std_persistence, max(death - birth) AS max_persistence, sum(death - birth) AS total_persistence,
+  avg(birth) AS mean_birth, avg(death) AS mean_death,
+  -sum((death - birth) / t * ln((death - birth) / t + 1e-10)) AS entropy
+  FROM bars JOIN tot USING (split, manifold, flow_id, dim) GROUP BY manifold, flow_id, dim)""",
     f"SELECT flow_id, {feature_columns()} FROM stats GROUP BY flow_id",
 )
 ORACLE["example_bars"] = with_(
-    H0
+    H1
     + f""", labelled AS (SELECT vec_id AS flow_id, {CLASS_OF.replace('CASE c', 'CASE label % 5')} AS name FROM embeddings),
 pick AS (SELECT flow_id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY flow_id) AS rn FROM labelled
   WHERE name IN ('Normal Traffic', 'Blackhole Attack', 'Wormhole Attack')) WHERE rn = 21)""",
-    f"""SELECT flow_id, manifold, dim, birth, {r('death')} AS death,
-    row_number() OVER (PARTITION BY flow_id, manifold ORDER BY dim, birth, h0.death) - 1 AS position
-    FROM h0 WHERE flow_id IN (SELECT flow_id FROM pick)""",
+    f"""SELECT flow_id, manifold, dim, {r('birth')} AS birth, {r('death')} AS death,
+    row_number() OVER (PARTITION BY flow_id, manifold ORDER BY dim, bars.birth, bars.death) - 1 AS position
+    FROM bars WHERE flow_id IN (SELECT flow_id FROM pick)""",
 )

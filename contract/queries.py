@@ -459,10 +459,13 @@ def rips_triangles(spark, sf_dir):
     return rounded(triples.withColumns({c: F.col(c).cast("long") for c in ("i", "j", "l")}))
 
 
+def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of all dimensions per neighbourhood, as arrays."""
+    return topology.cloud_bars(_hoods(spark, sf_dir), KEYS)
+
+
 def _h0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H0 bars per neighbourhood, as arrays."""
-    bars = topology.cloud_bars(_hoods(spark, sf_dir), KEYS)
-    return bars.withColumn("bars", F.filter("bars", lambda b: b["dim"] == 0))
+    return _bars(spark, sf_dir).withColumn("bars", F.filter("bars", lambda b: b["dim"] == 0))
 
 
 @query
@@ -472,8 +475,7 @@ def h0_bars(spark, sf_dir):
 
 @query
 def h1_bars(spark, sf_dir):
-    bars = topology.cloud_bars(_hoods(spark, sf_dir), KEYS)
-    return rounded(topology.explode_bars(bars, KEYS).where("dim = 1"))
+    return rounded(topology.explode_bars(_bars(spark, sf_dir), KEYS).where("dim = 1"))
 
 
 @query
@@ -494,7 +496,7 @@ def bars_cap(spark, sf_dir):
 
 @query
 def bars_by_dim(spark, sf_dir):
-    split = topology.bars_by_dim(_h0(spark, sf_dir), KEYS)
+    split = topology.bars_by_dim(_bars(spark, sf_dir), KEYS)
     return rounded(
         split.select(
             *KEYS,
@@ -507,18 +509,18 @@ def bars_by_dim(spark, sf_dir):
 
 @query
 def diagram_summary(spark, sf_dir):
-    return rounded(features.diagram_summary(_h0(spark, sf_dir)))
+    return rounded(features.diagram_summary(_bars(spark, sf_dir)))
 
 
 @query
 def diagram_by_class(spark, sf_dir):
     labels = fx.wide_points(spark, sf_dir).select("flow_id", "c")
-    return rounded(features.diagram_by_class(_h0(spark, sf_dir).join(labels, "flow_id"), "c"))
+    return rounded(features.diagram_by_class(_bars(spark, sf_dir).join(labels, "flow_id"), "c"))
 
 
 @query
 def bar_features(spark, sf_dir):
-    return rounded(features.bar_features(_h0(spark, sf_dir), ["flow_id"]), 5)
+    return rounded(features.bar_features(_bars(spark, sf_dir), ["flow_id"]), 5)
 
 
 @query
@@ -526,7 +528,7 @@ def example_bars(spark, sf_dir):
     points = fx.wide_points(spark, sf_dir).select("flow_id", "label")
     wanted = ["Normal Traffic", "Blackhole Attack", "Wormhole Attack"]
     chosen = profile.nth_of_class(points, 20, wanted)
-    found = features.example_bars(_h0(spark, sf_dir), chosen)
+    found = features.example_bars(_bars(spark, sf_dir), chosen)
     return rounded(found.withColumn("position", F.col("position").cast("long")))
 
 

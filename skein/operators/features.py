@@ -97,8 +97,10 @@ def bar_features(
 
 
 def diagram_summary(bars: DataFrame, keys: list[str] = ("manifold", "split")) -> DataFrame:
-    """(keys.., dim): mean bars per row, mean and longest lifetime of bars longer than 0."""
-    rows = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    """(keys.., dim): mean bars per row, mean and longest lifetime of bars longer than 0; a
+    dimension without bars has a row of zeros."""
+    counted = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    rows = counted.withColumn("dim", F.explode(F.array(*[F.lit(d) for d in HOMOLOGY_DIMS])))
     per_dim = (
         bars.select(*keys, F.inline("bars"))
         .withColumn("life", cap_death(F.col("death")) - F.col("birth"))
@@ -110,8 +112,13 @@ def diagram_summary(bars: DataFrame, keys: list[str] = ("manifold", "split")) ->
             F.max("life").alias("max_life"),
         )
     )
-    return per_dim.join(rows, list(keys)).select(
-        *keys, "dim", "n_bars", (F.col("n_bars") / F.col("_rows")).alias("mean_bars"), "mean_life", "max_life"
+    n_bars = F.coalesce("n_bars", F.lit(0).cast("long"))
+    return rows.join(per_dim, [*keys, "dim"], "left").select(
+        *keys,
+        "dim",
+        n_bars.alias("n_bars"),
+        (n_bars / F.col("_rows")).alias("mean_bars"),
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean_life", "max_life")],
     )
 
 

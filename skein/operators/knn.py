@@ -443,3 +443,99 @@ def _best(rows: DataFrame, others: DataFrame, k: int, by: list[str], unique: str
     # a plain limit on row_number is applied before the shuffle as well
     ranked = selves.unionByName(others).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.withColumn("rank", F.col("rank") - 1)
+
+
+# --- approximate neighbours ----------------------------------------------------
+
+TABLES = 8
+
+
+def approximate_knn(
+    points: DataFrame,
+    k: int = K_NEIGHBORS,
+    by: list[str] = ("split", "manifold"),
+    unique: str = "flow_id",
+    vec: str = "vec",
+    tables: int = TABLES,
+    pack: int = PACK,
+    seed: int = SEED,
+) -> DataFrame:
+    """As ``knn_join``, but some of the neighbours may be missed; the exact join is the default
+    elsewhere.
+
+    Each of ``tables`` hash tables takes random projections of the points, shifted at random, and
+    orders rows by the interleaved bits of their codes, so that rows with long common hash prefixes
+    stand side by side. Every pack of rows is compared with itself and the packs next to it, work in
+    proportion to rows, tables and pack size however the points lie. Distances are exact. Rows with
+    equal vectors are compared like others: of many copies, some are found.
+    """
+    by = list(by)
+    rows = settle(points.select(*by, unique, F.col(vec).cast(_VECTOR).alias(vec)))
+    # one row a group: dimensions and extent, for the scale of the codes
+    extent = rows.groupBy(*by).agg(
+        F.max(F.size(vec)).alias("d"), F.min(F.array_min(vec)).alias("lo"), F.max(F.array_max(vec)).alias("hi")
+    )
+    scales = {tuple(r[: len(by)]): (r["d"], max(r["hi"] - r["lo"], 1e-300)) for r in extent.collect()}
+    n_tasks = compute_partitions(rows.sparkSession)
+    id_field = rows.schema[unique]
+    coded_schema = T.StructType([*rows.schema.fields, T.StructField("table", T.IntegerType()), T.StructField("z", T.LongType())])
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g, part in batch.groupby(by, sort=False, dropna=False):
+                d, scale = scales[tuple(None if pd.isna(x) else x for x in g)]
+                x = _stack(part[vec])
+                for table in range(tables):
+                    rng = np.random.default_rng([seed, table, d])
+                    wanted = min(d, 12)
+                    axes = np.linalg.qr(rng.normal(size=(d, d)))[0][:, :wanted]
+                    unit = (x @ axes) / (4.0 * scale) + 0.5 + rng.uniform(-0.125, 0.125, wanted)
+                    yield part.assign(table=table, z=space_order(unit))
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = held = None
+        held_key = None
+        # a pack is compared once the next one is known
+        for key, rows_of in _packs(batches, [*by, "table"], pack):
+            if held is not None:
+                yield _nearest(held_key, before, held, rows_of if key == held_key else None)
+                before = held if key == held_key else None
+            held, held_key = rows_of, key
+        if held is not None:
+            yield _nearest(held_key, before, held, None)
+
+    names = [*by, unique, "neighbor_id", "distance", "neighbor_vec"]
+
+    def _nearest(key: tuple, before, own, after) -> pd.DataFrame:
+        around = pd.concat([p for p in (before, own, after) if p is not None])
+        q, v = _stack(own[vec]), _stack(around[vec])
+        ids, others = own[unique].to_numpy(), around[unique].to_numpy()
+        dist = _distance_block(q, v)
+        dist[ids[:, None] == others[None, :]] = np.inf
+        most = min(k, dist.shape[1])
+        at = np.argpartition(dist, most - 1, axis=1)[:, :most]
+        far = np.take_along_axis(dist, at, axis=1)
+        who, col = np.nonzero(np.isfinite(far))
+        at = at[who, col]
+        found = {c: [x] * len(who) for c, x in zip(by, key)}
+        found |= {unique: ids[who], "neighbor_id": others[at], "distance": far[who, col], "neighbor_vec": list(v[at])}
+        return pd.DataFrame(found, columns=names)
+
+    more = [T.StructField("neighbor_id", id_field.dataType), T.StructField("distance", T.DoubleType()), T.StructField("neighbor_vec", _VECTOR)]
+    coded = rows.mapInPandas(code, coded_schema)
+    spread = F.xxhash64(F.col(unique))
+    keys = [*by, "table", "z"]
+    ordered = settle(coded).repartitionByRange(n_tasks, *keys, spread).sortWithinPartitions(*keys, unique)
+    others = ordered.mapInPandas(near, T.StructType([*[rows.schema[c] for c in by], id_field, *more]))
+    # the same pair may come from several tables; both steps use the one shuffle by row
+    single = others.repartition(n_tasks, *by, unique).dropDuplicates([*by, unique, "neighbor_id"])
+    return _best(rows, single, k, by, unique, vec)
+
+
+def recall(found: DataFrame, exact: DataFrame, by: list[str] = ("split", "manifold"), unique: str = "flow_id") -> DataFrame:
+    """(by.., recall): the share of exact neighbours, the row itself left out, that were found."""
+    keys = [*by, unique, "neighbor_id"]
+    others = F.col(unique) != F.col("neighbor_id")
+    hits = found.where(others).select(*keys).withColumn("hit", F.lit(1))
+    joined = exact.where(others).select(*keys).join(hits, keys, "left")
+    return joined.groupBy(*by).agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))

@@ -264,6 +264,20 @@ def join_features(*tables: DataFrame, on: str = "flow_id") -> DataFrame:
     return out
 
 
+def join_aligned(*tables: DataFrame, on: str = "flow_id") -> DataFrame:
+    """As ``join_features``, but a row without a partner in any table raises an error, in the same
+    pass: a full join whose filter fails on a missing side."""
+    out = tables[0]
+    for number, table in enumerate(tables[1:], 2):
+        repeated = [c for c in table.columns if c in out.columns and c != on]
+        left = out.withColumn("_left", F.lit(True))
+        right = table.withColumnsRenamed({c: f"{c}_2" for c in repeated}).withColumn("_right", F.lit(True))
+        problem = F.concat(F.lit(f"table {number} is not aligned on {on}: "), F.coalesce(F.col(on).cast("string"), F.lit("null")))
+        whole = F.col("_left").isNotNull() & F.col("_right").isNotNull()
+        out = left.join(right, on, "full").where(F.when(whole, True).otherwise(F.raise_error(problem).cast("boolean"))).drop("_left", "_right")
+    return out
+
+
 def alignment_report(left: DataFrame, right: DataFrame, on: str = "flow_id") -> DataFrame:
     """Rows of both tables and ids that lack a partner."""
     tagged = left.select(on, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(

@@ -17,7 +17,8 @@ from skein.session import shuffle_partitions
 
 BUCKET = "_bucket"
 HASH = "_hash"
-HEX_DIGITS = 3
+#: Rows of one bucket of hash ranks; more rows mean more leading digits of the hash.
+ROWS_PER_BUCKET = 100_000
 
 
 def cut_points(df: DataFrame, columns: list[str], n: int | None = None) -> dict[str, list[float]]:
@@ -74,11 +75,11 @@ def bucketed_totals(
 
 
 def dense_position(df: DataFrame, column: str, out: str = "pos") -> DataFrame:
-    """0-based row position in ascending order of a unique integer column."""
-    span = df.agg(F.min(column), F.max(column), F.count(F.lit(1))).first()
-    low, high, n = span
-    if n and high - low + 1 == n:
-        return df.withColumn(out, F.col(column).cast("long") - F.lit(low))
+    """0-based row position in ascending order of an integer column.
+
+    Equal values get neighbouring positions in no particular order, so positions are always
+    0 .. rows - 1.
+    """
     cuts = cut_points(df, [column])[column]
     staged = with_order_bucket(df.withColumn("_one", F.lit(1).cast("long")), column, cuts)
     ranked = bucketed_totals(staged, [], [F.col(column)], ["_one"])
@@ -90,11 +91,15 @@ def hash_rank(
 ) -> DataFrame:
     """1-based rank in hash order per key, plus the size of the key's group.
 
-    The leading hash digits spread even a hot key evenly over 4,096 buckets.
+    The leading hash digits spread even a hot key evenly over buckets, whose number grows with
+    the rows.
     """
+    digits, rows = 3, df.count()
+    while ROWS_PER_BUCKET * 16**digits < rows:
+        digits += 1
     staged = (
         df.withColumn(HASH, hash_order(F.col(unique), seed))
-        .withColumn(BUCKET, F.substring(HASH, 1, HEX_DIGITS))
+        .withColumn(BUCKET, F.substring(HASH, 1, digits))
         .withColumn("_one", F.lit(1).cast("long"))
     )
     ranked = bucketed_totals(staged, keys, [F.col(HASH), F.col(unique)], ["_one"])

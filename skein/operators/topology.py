@@ -21,15 +21,19 @@ from skein.schema import (
     BASELINE_SAMPLE,
     FRAME_AFTER,
     FRAME_BEFORE,
+    HOMOLOGY_DIMS,
     MANIFOLDS,
     MAX_EDGE,
     NORMAL,
     SEED,
 )
 from skein.session import compute_partitions
+from skein.sources.batches import BatchRun
 
 # Floats of one distance tensor handed to the kernel at a time (64 MB).
 TENSOR = 8_000_000
+#: Blocks of row-order frames that a restartable run computes as one batch.
+BLOCKS_PER_BATCH = 20
 
 
 def _bars_array(found: list[np.ndarray]) -> pa.Array:
@@ -94,38 +98,52 @@ def order_bars(
     after: int = FRAME_AFTER,
     block: int = BLOCK,
     max_edge: float = MAX_EDGE,
+    run: BatchRun | None = None,
 ) -> DataFrame:
     """(id, manifold, bars) of the row-order frame of every row.
 
     ``wide`` has one array column per manifold. A task gets one block of rows
     with its halo and forms the overlapping frames itself, so points are shipped
-    about once instead of once per frame.
+    about once instead of once per frame. With a ``run``, blocks are computed in its
+    batches and a rerun computes only what is missing.
     """
-    placed = halo_blocks(
-        dense_position(wide.select(unique, *manifolds), unique), "pos", before, after, block
-    )
-    long = long_points(placed, manifolds)
+
+    def placed() -> DataFrame:
+        rows = dense_position(wide.select(unique, *manifolds), unique)
+        return long_points(halo_blocks(rows, "pos", before, after, block), manifolds)
+
+    def bars(long: DataFrame) -> DataFrame:
+        return _frame_bars(long, unique, before, after, max_edge)
+
+    if run is None:
+        return bars(placed()).drop("block")
+    rows = run.once("frames", placed)
+    each = F.floor(F.col("block") / BLOCKS_PER_BATCH).cast("long")
+    return run.compute("order-bars", rows.withColumn("batch", each), lambda part: bars(part).withColumn("batch", each)).drop("block")
+
+
+def _frame_bars(long: DataFrame, unique: str, before: int, after: int, max_edge: float) -> DataFrame:
+    """(id, manifold, block, bars) of the owned rows of each block."""
     schema = T.StructType(
         [
-            wide.schema[unique],
+            long.schema[unique],
             T.StructField("manifold", T.StringType()),
+            T.StructField("block", T.LongType()),
             T.StructField("bars", BARS_TYPE),
         ]
     )
 
-    def run(table: pa.Table) -> pa.Table:
+    def frames(table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
         owned = np.flatnonzero(table.column("owned").to_numpy())
         vecs = table.column("vec").combine_chunks()
         cloud = vecs.flatten().to_numpy().reshape(len(vecs), -1)
-        frames = [cloud[max(0, i - before) : i + after + 1] for i in owned]
-        kept = table.take(pa.array(owned)).select([unique, "manifold"]).combine_chunks()
-        return kept.append_column("bars", _bars_array(_by_shape(frames, max_edge)))
+        windows = [cloud[max(0, i - before) : i + after + 1] for i in owned]
+        kept = table.take(pa.array(owned)).select([unique, "manifold", "block"]).combine_chunks()
+        return kept.append_column("bars", _bars_array(_by_shape(windows, max_edge)))
 
-    n = compute_partitions(wide.sparkSession)
-    return (
-        long.repartition(n, "manifold", "block").groupBy("manifold", "block").applyInArrow(run, schema)
-    )
+    n = compute_partitions(long.sparkSession)
+    return long.repartition(n, "manifold", "block").groupBy("manifold", "block").applyInArrow(frames, schema)
 
 
 def baseline_bars(
@@ -177,12 +195,12 @@ def baseline_bars(
 
 
 def baseline_summary(baseline: DataFrame) -> DataFrame:
-    """Bars per manifold and dimension of the baseline barcodes."""
-    return (
-        baseline.select("manifold", "replicate", "n_samples", "dimension", F.inline("bars"))
-        .groupBy("manifold", "replicate", "n_samples", "dimension", "dim")
-        .agg(F.count(F.lit(1)).alias("n_bars"))
-    )
+    """Bars per manifold and dimension of the baseline barcodes; 0 where a dimension has none."""
+    counts = [
+        F.struct(F.lit(d).alias("dim"), F.size(F.filter("bars", lambda b: b["dim"] == d)).cast("long").alias("n_bars"))
+        for d in HOMOLOGY_DIMS
+    ]
+    return baseline.select("manifold", "replicate", "n_samples", "dimension", F.inline(F.array(*counts)))
 
 
 def wide_points(points: DataFrame, manifolds: list[str], keep: list[str]) -> DataFrame:

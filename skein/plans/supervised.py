@@ -14,7 +14,7 @@ from skein.operators.models import check_class_order, score_rows
 from skein.operators.knn import knn_join
 from skein.operators.neighbors import neighborhoods
 from skein.operators.prep import (
-    join_features,
+    join_aligned,
     long_points,
     manifold_vectors,
     original_features,
@@ -23,16 +23,35 @@ from skein.operators.prep import (
 from skein.operators.topology import cloud_bars
 from skein.schema import K_NEIGHBORS, MAX_EDGE, SEED, TEST_FRACTION
 from skein.session import settle
+from skein.sources.batches import BatchRun
+from skein.sources.sinks import FLOWS_PER_BATCH
 
 
 def local_bars(
-    flows: DataFrame, split: DataFrame, k: int = K_NEIGHBORS, max_edge: float = MAX_EDGE
+    flows: DataFrame,
+    split: DataFrame,
+    k: int = K_NEIGHBORS,
+    max_edge: float = MAX_EDGE,
+    run: BatchRun | None = None,
 ) -> DataFrame:
-    """(split, manifold, flow_id, bars) of each flow's k nearest neighbours in its own split."""
-    points = long_points(manifold_vectors(flows, ["flow_id"]))
-    labelled = points.join(split.select("flow_id", "split"), "flow_id")
-    hoods = neighborhoods(knn_join(labelled, k))
-    return cloud_bars(hoods, ["split", "manifold", "flow_id"], max_edge)
+    """(split, manifold, flow_id, bars) of each flow's k nearest neighbours in its own split.
+
+    With a ``run``, the neighbourhoods are kept in its folder, the barcodes are computed in
+    batches of flows, and a stopped run is taken up again.
+    """
+    keys = ["split", "manifold", "flow_id"]
+
+    def hoods() -> DataFrame:
+        points = long_points(manifold_vectors(flows, ["flow_id"]))
+        return neighborhoods(knn_join(points.join(split.select("flow_id", "split"), "flow_id"), k))
+
+    if run is None:
+        return cloud_bars(hoods(), keys, max_edge)
+    rows = run.once("neighbourhoods", hoods)
+    each = F.floor(F.col("flow_id") / FLOWS_PER_BATCH).cast("long")
+    return run.compute(
+        "local-bars", rows.withColumn("batch", each), lambda part: cloud_bars(part, keys, max_edge).withColumn("batch", each)
+    )
 
 
 def feature_table(
@@ -41,13 +60,15 @@ def feature_table(
     fraction: float = TEST_FRACTION,
     seed: int = SEED,
     max_edge: float = MAX_EDGE,
+    run: BatchRun | None = None,
 ) -> DataFrame:
-    """(flow_id, label, split, 22 raw and 72 topology columns)."""
+    """(flow_id, label, split, 22 raw and 72 topology columns), computed once and settled: models
+    and folds read it many times. A flow without a row on any side raises an error."""
     split = settle(stratified_split(flows.select("flow_id", "label"), fraction=fraction, seed=seed))
-    bars = local_bars(flows, split, k, max_edge)
+    bars = local_bars(flows, split, k, max_edge, run)
     raw = original_features(flows, ["flow_id", "label"])
     topo = bar_features(bars, ["flow_id"])
-    return join_features(raw, split.select("flow_id", F.col("split")), topo)
+    return settle(join_aligned(raw, split.select("flow_id", F.col("split")), topo))
 
 
 def compare_models(

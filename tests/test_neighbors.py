@@ -89,6 +89,29 @@ def test_cells_grow_with_the_rows(spark, monkeypatch):
     assert len(low) == len(width) == int(2 * (40_000 / 2) ** 0.5)
 
 
+def test_approximate_neighbours_have_a_recall_of_90_percent(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for m, d in (("C2", 5), ("Network", 15), ("Physical", 2)):
+        middle = rng.normal(size=(6, d)) * 3
+        for i in range(4000):
+            rows.append(Row(flow_id=i, split="train", manifold=m, vec=(middle[i % 6] + rng.normal(size=d)).tolist()))
+    points = settle(spark.createDataFrame(rows))
+    exact = settle(knn.knn_join(points, 100))
+    found = settle(knn.approximate_knn(points, 100, pack=256))
+    got = {r["manifold"]: r["recall"] for r in knn.recall(found, exact).collect()}
+    assert len(got) == 3 and min(got.values()) >= 0.9, got
+    ranks = found.groupBy("split", "manifold", "flow_id").agg(F.max("rank").alias("r"), F.count_distinct("neighbor_id").alias("n"))
+    assert ranks.where("r != 99 or n != 100").isEmpty()
+
+
+def test_approximate_neighbours_of_few_rows_are_exact(spark):
+    rows = [Row(flow_id=i, split="test", manifold="C2", vec=[float(i % 3), 1.0]) for i in range(20)]
+    points = spark.createDataFrame(rows)
+    one = knn.approximate_knn(points, 30).select("flow_id", "neighbor_id", "distance")
+    assert one.exceptAll(knn.knn_join(points, 30).select("flow_id", "neighbor_id", "distance")).isEmpty() and one.count() == 400
+
+
 def test_leaks_are_counted(spark):
     found = spark.createDataFrame([("train", 1, 1), ("train", 1, 2), ("train", 1, 9)], "split string, flow_id long, neighbor_id long")
     split = spark.createDataFrame([(1, "train"), (2, "test")], "flow_id long, split string")
