@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from contract.fixtures import FLOWS_SQL, PROBABILITY_WEIGHTS, SCORED_SQL
-from contract.queries import DISTANCE_FEATURES, EDGE, GROUPS, K_HOOD, K_KNN, KEYS, LINEITEM_COLUMNS
+from contract.queries import DISTANCE_FEATURES, EDGE, GROUPS, K_HOOD, K_KNN, KEYS, LINEITEM_COLUMNS, N_BASELINE
 from skein.schema import (
     BAR_STATISTICS,
     CLASSES,
@@ -730,3 +730,58 @@ pick AS (SELECT flow_id FROM (SELECT *, row_number() OVER (PARTITION BY name ORD
     row_number() OVER (PARTITION BY flow_id, manifold ORDER BY dim, bars.birth, bars.death) - 1 AS position
     FROM bars WHERE flow_id IN (SELECT flow_id FROM pick)""",
 )
+
+
+# Distances of one-dimensional diagrams: bars from 0 are numbers, and an optimal matching never
+# crosses, so it is an alignment of two sorted lists. d[j] is the least cost of the bars so far
+# against the first j of the baseline.
+def _base_square(new: str, old: str) -> str:
+    return f"""{new} AS (SELECT a.manifold, a.i, b.j, min(greatest(a.w, b.w)) AS w
+  FROM {old} a JOIN {old} b ON a.manifold = b.manifold AND a.j = b.i GROUP BY ALL)"""
+
+
+BASELINE = (
+    f""", base AS (SELECT manifold, vec, row_number() OVER (PARTITION BY manifold ORDER BY md5(concat('42:', CAST(flow_id AS STRING))), flow_id) AS i
+  FROM points WHERE c = {CLASSES.index(NORMAL)} QUALIFY i <= {N_BASELINE}),
+q0 AS (SELECT a.manifold, a.i, b.i AS j, list_distance(a.vec, b.vec) AS w FROM base a JOIN base b USING (manifold)), """
+    + ", ".join(_base_square(f"q{i + 1}", f"q{i}") for i in range(6))
+    + """, target AS (SELECT manifold, least(min(w), 5.0) AS death FROM q6 WHERE j < i GROUP BY manifold, i
+  UNION ALL SELECT DISTINCT manifold, 5.0 FROM base)"""
+)
+ALIGNED = (
+    H0
+    + BASELINE
+    + f""", y AS (SELECT manifold, death AS b, row_number() OVER (PARTITION BY manifold ORDER BY death DESC) AS j FROM target WHERE death > 0),
+x AS (SELECT {_keys}, death AS a, row_number() OVER (PARTITION BY {_keys} ORDER BY death DESC) AS i FROM h0),
+y0 AS (SELECT manifold, j, b, sum(b * b / 4) OVER (PARTITION BY manifold ORDER BY j) AS left_out FROM y
+  UNION ALL SELECT DISTINCT manifold, 0, NULL, 0 FROM y),
+d0 AS (SELECT {_keys}, j, b, left_out, left_out AS d FROM (SELECT DISTINCT {_keys} FROM h0) JOIN y0 USING (manifold))"""
+    + "".join(
+        f""", e{i} AS (SELECT p.*, a, least(d + a * a / 4, lag(d) OVER (PARTITION BY {_keys} ORDER BY j) + (a - b) ** 2) AS e
+    FROM d{i - 1} p LEFT JOIN (SELECT * FROM x WHERE i = {i}) USING ({_keys})),
+d{i} AS (SELECT {_keys}, j, b, left_out, CASE WHEN a IS NULL THEN d
+    ELSE left_out + min(e - left_out) OVER (PARTITION BY {_keys} ORDER BY j) END AS d FROM e{i})"""
+        for i in range(1, K_HOOD + 1)
+    )
+    + f""", apart AS (SELECT flow_id, manifold, c, sqrt(arg_max(d, j)) AS distance FROM d{K_HOOD} JOIN points USING ({_keys}) GROUP BY flow_id, manifold, c),
+distances AS (SELECT flow_id, {CLASS_OF} AS label, """
+    + ", ".join(f"max(distance) FILTER (manifold = '{m}') AS {m.lower()}_distance" for m in MANIFOLDS)
+    + " FROM apart GROUP BY flow_id, c)"
+)
+ORACLE["distance_table"] = with_(
+    ALIGNED, "SELECT flow_id, label, " + ", ".join(f"{r(f'{g}_distance')} AS {g}_distance" for g in GROUPS) + " FROM distances"
+)
+ORACLE["distance_detection"] = with_(
+    ALIGNED + f", st AS (SELECT {SIGMA_STATS} FROM distances WHERE label = '{NORMAL}')",
+    "SELECT flow_id, label, "
+    + ", ".join(f"{r(f'({g}_distance - m_{g}) / s_{g}', 5)} AS {g}_zscore" for g in GROUPS)
+    + ", "
+    + " OR ".join(f"({g}_distance - m_{g}) / s_{g} > 3" for g in GROUPS)
+    + " AS anomaly_detected FROM distances, st",
+)
+ORACLE["baseline_counts"] = with_(
+    SCALED + BASELINE,
+    """SELECT manifold, n AS n_samples, CAST(0 AS INT) AS dim, k AS n_bars FROM (SELECT manifold, count(*) AS n FROM base GROUP BY manifold)
+    JOIN (SELECT manifold, count(*) AS k FROM target WHERE death > 0 GROUP BY manifold) USING (manifold)
+    UNION ALL SELECT manifold, count(*), 2, 0 FROM base GROUP BY manifold""",
+)

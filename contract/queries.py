@@ -12,6 +12,7 @@ from skein.functions.columns import cap_death, is_class
 from skein.operators import auc as roc
 from skein.operators import compare, detect, distance, evaluate, features, knn, neighbors, prep, profile, topology
 from skein.schema import CLASSES, KEY_FEATURES, MANIFOLDS, NORMAL, RAW_FEATURES
+from skein.session import settle
 from skein.sources.sinks import run_metadata
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,7 @@ REGISTRY: dict[str, Query] = {}
 K_KNN = 10
 K_HOOD = 8
 EDGE = 2.0
+N_BASELINE = 40
 GROUPS = detect.GROUPS
 KEYS = ["split", "manifold", "flow_id"]
 LINEITEM_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -552,6 +554,36 @@ def w2_distance(spark, sf_dir):
     return rounded(distance.w2_distance(topology.order_bars(scaled), baseline))
 
 
+def _component_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of every neighbourhood's H0 bars to those of a sample of normal rows, side by side."""
+    points = fx.wide_points(spark, sf_dir)
+    scaled = topology.wide_points(prep.scale_vectors(prep.long_points(points)), MANIFOLDS, ["flow_id", "label"])
+    baseline = topology.baseline_bars(scaled, n=N_BASELINE)
+    baseline = baseline.withColumn("bars", F.filter("bars", lambda b: b["dim"] == 0))
+    return distance.distance_table(distance.w2_distance(_h0(spark, sf_dir), baseline), points)
+
+
+@query
+def distance_table(spark, sf_dir):
+    return rounded(_component_distances(spark, sf_dir))
+
+
+@query
+def distance_detection(spark, sf_dir):
+    """Distances to normal traffic, 3-sigma flags on them."""
+    distances = settle(_component_distances(spark, sf_dir))
+    found = detect.zscore_detect(distances, detect.normal_stats(distances))
+    return rounded(found.select("flow_id", "label", *[f"{g}_zscore" for g in GROUPS], "anomaly_detected"), 5)
+
+
+@query
+def baseline_counts(spark, sf_dir):
+    """H0 bars of the baseline sample's barcodes."""
+    scaled = topology.wide_points(prep.scale_vectors(prep.long_points(fx.wide_points(spark, sf_dir))), MANIFOLDS, ["flow_id", "label"])
+    found = topology.baseline_summary(topology.baseline_bars(scaled, n=N_BASELINE))
+    return found.where("dim <> 1").select("manifold", "n_samples", "dim", "n_bars")
+
+
 @query
 def w2_detection(spark, sf_dir):
     """Flows to barcodes to distances to flags: the unsupervised track end to end."""
