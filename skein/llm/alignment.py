@@ -21,7 +21,7 @@ avoids.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,6 @@ class TokenBytes:
         self.width = np.array([len(t) for t in tokens], np.int64)
         self.start = np.cumsum(self.width) - self.width
         self.pool = np.frombuffer(b"".join(tokens), np.uint8)
-        self.decimal = [str(k) for k in range(len(tokens))]
 
     def spell(self, ids: np.ndarray) -> np.ndarray:
         return gather(self.pool, self.start[ids], self.width[ids])
@@ -111,7 +110,7 @@ class PieceSide(TokenBytes):
         units = [u[1:] for u in found.dictionary.to_pylist()]
         each = [e if u else [self.space] for u, e in zip(units, self.library.encode(units, num_threads=1))] if units else []
         size = np.array([len(e) for e in each], np.int64)
-        pool = np.concatenate([np.array(e, np.int64) for e in each]) if each else np.zeros(0, np.int64)
+        pool = np.fromiter(chain.from_iterable(each), np.int64, int(size.sum()))
         ids = gather(pool, (np.cumsum(size) - size)[number], size[number])
         doc = np.searchsorted(ends, starts, side="right") - 1
         return ids, np.bincount(doc, size[number], minlength=len(spaced)).astype(np.int64)
@@ -127,18 +126,42 @@ def common_ends(ends_a: np.ndarray, ends_b: np.ndarray, part_bytes: int = PART_B
             i, j = np.searchsorted(ends, [start, start + part_bytes], side="right").tolist()
             sides.append(dict(zip(ends[i:j].tolist(), range(i, j))))
         a, b = sides
-        for end in sorted(a.keys() & b.keys()):
-            at_a.append(a[end])
-            at_b.append(b[end])
+        common = sorted(a.keys() & b.keys())
+        at_a.extend(map(a.__getitem__, common))
+        at_b.extend(map(b.__getitem__, common))
     return at_a, at_b
 
 
-def group_texts(a: list[str], b: list[str], at_a: list[int], at_b: list[int]) -> Iterator[str]:
-    """The ids of each group, cut behind the tokens that end together."""
-    i = j = 0
-    for x, y in zip(at_a, at_b):
-        yield ",".join(a[i : x + 1]) + "|" + ",".join(b[j : y + 1])
-        i, j = x + 1, y + 1
+class GroupText:
+    """Writes groups as ``a1,a2|b1;a3|b2,b3``: each id's digits with the sign behind it come from a
+    pool of bytes."""
+
+    SIGNS = (",", "|", ",", ";")
+
+    def __init__(self, n_a: int, n_b: int):
+        texts = [f"{k}{sign}" for sign, n in zip(self.SIGNS, (n_a, n_a, n_b, n_b)) for k in range(n)]
+        self.first = np.array([0, n_a, 2 * n_a, 2 * n_a + n_b], np.int64)
+        self.size = np.array([len(t) for t in texts], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.pool = np.frombuffer("".join(texts).encode(), np.uint8)
+
+    def write(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, texts: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The groups of many texts one after another, cut behind the tokens ``at_a`` and ``at_b``, and
+        where each text ends; ``texts`` has the number of groups of each."""
+        width_a, width_b = np.diff(at_a, prepend=-1), np.diff(at_b, prepend=-1)
+        code = np.empty(len(a) + len(b), np.int64)
+        # a token stands behind all of its own side before it and the other side's earlier groups
+        code[np.arange(len(a)) + np.repeat(np.cumsum(width_b) - width_b, width_a)] = a + self._signs(0, at_a, len(a))
+        code[np.arange(len(b)) + np.repeat(np.cumsum(width_a), width_b)] = b + self._signs(2, at_b, len(b))
+        written = gather(self.pool, self.start[code], self.size[code])
+        tokens = np.concatenate([[0], np.cumsum(width_a + width_b)])[np.concatenate([[0], np.cumsum(texts)])]
+        ends = np.concatenate([[0], np.cumsum(self.size[code])])[tokens]
+        return written.tobytes(), ends
+
+    def _signs(self, side: int, last: np.ndarray, n: int) -> np.ndarray:
+        out = np.full(n, self.first[side], np.int64)
+        out[last] = self.first[side + 1]
+        return out
 
 
 def _spelled(side: TokenBytes, ids: np.ndarray, counts: np.ndarray, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -158,6 +181,7 @@ class Aligner:
 
     def __init__(self, vocabulary: str, model: str, groups: bool):
         self.a, self.b, self.groups = ByteSide(vocabulary), PieceSide(model), groups
+        self.text = GroupText(len(self.a.width), len(self.b.width))
 
     def work(self, texts: pa.Array) -> list[pa.Array]:
         spaced = pc.binary_join_element_wise(pa.scalar("", texts.type), texts, pa.scalar(" ", texts.type))
@@ -167,32 +191,34 @@ class Aligner:
         for side in (self.a, self.b):
             ids, counts = side.encode(spaced)
             good &= _spelled(side, ids, counts, data, ends)
-            sides.append((ids, np.concatenate([[0], np.cumsum(counts)])))
-        numbers, digests, written, pairs, times, per = [], [], [], [], [], []
-        (ids_a, cut_a), (ids_b, cut_b) = sides
-        for k in range(len(texts)):
-            if not good[k]:
-                numbers.append((0, 0, 0, 0))
-                digests.append("")
-                written.append("")
-                per.append(0)
-                continue
-            a, b = ids_a[cut_a[k] : cut_a[k + 1]], ids_b[cut_b[k] : cut_b[k + 1]]
-            at_a, at_b = common_ends(np.cumsum(self.a.width[a]), np.cumsum(self.b.width[b]))
-            names = [self.a.decimal[i] for i in a.tolist()], [self.b.decimal[i] for i in b.tolist()]
-            text = ";".join(group_texts(*names, at_a, at_b))
-            digests.append(hashlib.sha256(text.encode()).hexdigest())
-            if self.groups:
-                written.append(text)
-            pair, n = np.unique((a[at_a] << 32) | b[at_b], return_counts=True)
-            numbers.append((len(a), len(b), len(at_a), int(n.sum())))
+            sides.append((ids, counts))
+        # from here on, only texts with tokens
+        (a, n_a), (b, n_b) = ((ids[np.repeat(good, counts)], np.where(good, counts, 0)) for ids, counts in sides)
+        cut_a, cut_b = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
+        width_a, width_b = self.a.width[a], self.b.width[b]
+        at_a, at_b, n_groups = [], [], np.zeros(len(texts), np.int64)
+        for k in np.flatnonzero(good):
+            mine = slice(cut_a[k], cut_a[k + 1]), slice(cut_b[k], cut_b[k + 1])
+            last_a, last_b = common_ends(np.cumsum(width_a[mine[0]]), np.cumsum(width_b[mine[1]]))
+            at_a.append(np.array(last_a, np.int64) + cut_a[k])
+            at_b.append(np.array(last_b, np.int64) + cut_b[k])
+            n_groups[k] = len(last_a)
+        last_a, last_b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (at_a, at_b))
+        written, stops = self.text.write(a, b, last_a, last_b, n_groups)
+        # without the last semicolon
+        lines = [written[i : j - 1] if j > i else b"" for i, j in zip(stops[:-1].tolist(), stops[1:].tolist())]
+        digests = [hashlib.sha256(line).hexdigest() if line else "" for line in lines]
+        links = (a[last_a] << 32) | b[last_b]
+        pairs, times, per, cuts = [], [], [], np.concatenate([[0], np.cumsum(n_groups)])
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            pair, n = np.unique(links[i:j], return_counts=True)
             pairs.append(pair)
             times.append(n)
             per.append(len(pair))
-        columns = [pa.array(c, pa.int64()) for c in (zip(*numbers) if numbers else [[]] * 4)]
+        columns = [pa.array(c, pa.int64()) for c in (n_a, n_b, n_groups, n_groups)]  # one link a group
         columns.append(pa.array(digests, pa.string()))
         if self.groups:
-            columns.append(pa.array(written, pa.string()))
+            columns.append(pa.array([line.decode() for line in lines], pa.string()))
         each = pa.StructArray.from_arrays(
             [pa.array(np.concatenate(pairs) if pairs else [], pa.int64()), pa.array(np.concatenate(times) if times else [], pa.int64())],
             names=["pair", "n"],
