@@ -785,3 +785,41 @@ ORACLE["baseline_counts"] = with_(
     JOIN (SELECT manifold, count(*) AS k FROM target WHERE death > 0 GROUP BY manifold) USING (manifold)
     UNION ALL SELECT manifold, count(*), 2, 0 FROM base GROUP BY manifold""",
 )
+
+
+# --- models ---------------------------------------------------------------------
+
+_sorted_classes = sorted(CLASSES)
+_test_rows = "SELECT count(*) AS n FROM split WHERE split = 'test'"
+ORACLE["logistic_optimality"] = f"""SELECT class, feature, true AS flat FROM (SELECT unnest({_sorted_classes}) AS class),
+    (SELECT unnest({[*RAW_FEATURES, 'intercept']}) AS feature)"""
+ORACLE["forest_scoring"] = with_(
+    SPLIT, f"SELECT n AS n_rows, n AS n_sum_one, n AS n_likeliest, {n(str(len(CLASSES)))} AS n_classes FROM ({_test_rows})"
+)
+ORACLE["svm_scoring"] = with_(
+    SPLIT,
+    f"""SELECT n AS n_rows, n AS n_sum_one, n AS n_likeliest, {n(str(len(CLASSES)))} AS n_classes,
+    (SELECT count(*) FROM (SELECT DISTINCT label FROM split) a JOIN (SELECT DISTINCT label FROM split) b ON a.label < b.label) AS n_pairs
+    FROM ({_test_rows})""",
+)
+ORACLE["logistic_scoring"] = with_(
+    SPLIT, f"SELECT n AS n_rows, n AS n_sum_one, n AS n_likeliest, {n(str(len(CLASSES)))} AS n_classes, n AS n_same FROM ({_test_rows})"
+)
+ORACLE["forest_importance"] = f"SELECT unnest({RAW_FEATURES}) AS feature, true AS valid, true AS whole"
+ORACLE["model_catalogue"] = with_(
+    SPLIT,
+    f"""SELECT unnest(['Logistic Regression', 'Random Forest']) AS model, CAST({len(RAW_FEATURES)} AS INT) AS n_features,
+    CAST(count(DISTINCT label) AS INT) AS n_classes, false AS untuned FROM split WHERE split = 'train'""",
+)
+ORACLE["class_order"] = with_(
+    SPLIT, "SELECT row_number() OVER (ORDER BY label) - 1 AS position, label FROM (SELECT DISTINCT label FROM split WHERE split = 'train')"
+)
+ORACLE["isolation_forest"] = with_(
+    FLOWS,
+    """SELECT CAST(100 AS BIGINT) AS n_trees, least(256, count(*)) AS least, least(256, count(*)) AS most, count(*) AS n_scored,
+    count(*) AS n_valid FROM flows""",
+)
+ORACLE["aligned_features"] = with_(
+    SPLIT + ", " + ENCODED.removeprefix(FLOWS + ", "),
+    f"SELECT e.flow_id, e.label, {_raw_rounded}, split FROM encoded e JOIN split USING (flow_id)",
+)

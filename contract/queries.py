@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contract import fixtures as fx
 from skein.functions.columns import cap_death, is_class
 from skein.operators import auc as roc
-from skein.operators import compare, detect, distance, evaluate, features, knn, neighbors, prep, profile, topology
+from skein.operators import compare, detect, distance, evaluate, features, knn, models, neighbors, prep, profile, topology
 from skein.schema import CLASSES, KEY_FEATURES, MANIFOLDS, NORMAL, RAW_FEATURES
 from skein.session import settle
 from skein.sources.sinks import run_metadata
@@ -607,3 +608,118 @@ def metadata(spark, sf_dir):
 
 
 REGISTRY["run_metadata"] = metadata
+
+
+# --- models ---------------------------------------------------------------------
+
+CLOSE = 1e-9
+FLAT = 1e-3
+
+
+def _train_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw features, scaled on the training rows, with label and split; settled."""
+    flows = fx.flows(spark, sf_dir)
+    split = prep.stratified_split(flows.select("flow_id", "label")).select("flow_id", "split")
+    return settle(models.scale_on_train(prep.join_aligned(prep.original_features(flows), split), RAW_FEATURES))
+
+
+def _logistic(table: DataFrame):
+    return models.fit_logistic(table.where("split = 'train'"), RAW_FEATURES)
+
+
+def _forest(table: DataFrame):
+    return models.fit_forest(table.where("split = 'train'"), RAW_FEATURES, n_trees=10, max_depth=6)
+
+
+def _probability_report(scored: DataFrame) -> DataFrame:
+    """One row: rows, rows whose probabilities add up to 1, rows predicted as their likeliest class."""
+    total = F.aggregate("probabilities", F.lit(0.0), lambda s, x: s + x)
+    names = F.array(*[F.lit(c) for c in sorted(CLASSES)])
+    best = F.transform(names, lambda c, i: F.struct(F.get("probabilities", i).alias("p"), c.alias("c")))
+    likeliest = F.filter(best, lambda b: b["p"] >= F.array_max("probabilities") - CLOSE)
+    return scored.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.abs(total - 1.0) < 1e-6).alias("n_sum_one"),
+        F.count_if(F.exists(likeliest, lambda b: b["c"] == F.col("predicted"))).alias("n_likeliest"),
+        F.max(F.size("probabilities")).cast("long").alias("n_classes"),
+    )
+
+
+@query
+def logistic_optimality(spark, sf_dir):
+    """Whether the slope of the penalised loss is near 0 in every coefficient of the fitted model."""
+    table = _train_table(spark, sf_dir)
+    found = models.penalty_gradient(table.where("split = 'train'"), _logistic(table), RAW_FEATURES)
+    return found.select("class", F.coalesce("feature", F.lit("intercept")).alias("feature"), (F.abs("gradient") < FLAT).alias("flat"))
+
+
+@query
+def logistic_scoring(spark, sf_dir):
+    """Test rows scored by the model and by column expressions from its coefficients."""
+    table = _train_table(spark, sf_dir)
+    model = _logistic(table)
+    test = table.where("split = 'test'")
+    mine = models.score_columns(test, models.coefficient_table(model, RAW_FEATURES, spark), ["flow_id"])
+    both = prep.join_aligned(models.score_rows(model, test, ["flow_id"]), mine)
+    apart = F.zip_with("probabilities", "probabilities_2", lambda a, b: F.abs(a - b))
+    same = (F.array_max(apart) < CLOSE) & (F.col("predicted") == F.col("predicted_2"))
+    return _probability_report(both.withColumn("same", same)).withColumn("n_same", both.where(same).agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
+@query
+def forest_scoring(spark, sf_dir):
+    table = _train_table(spark, sf_dir)
+    return _probability_report(models.score_rows(_forest(table), table.where("split = 'test'"), ["flow_id"]))
+
+
+@query
+def svm_scoring(spark, sf_dir):
+    """Pairwise machines with coupled probabilities; few terms and passes."""
+    table = _train_table(spark, sf_dir)
+    model = models.fit_svm(table.where("split = 'train'"), RAW_FEATURES, max_iter=10, terms=32)
+    models.check_class_order(model, sorted(CLASSES))
+    report = _probability_report(models.score_rows(model, table.where("split = 'test'"), ["flow_id"]))
+    return report.withColumn("n_pairs", F.lit(len(model.pairs)).cast("long"))
+
+
+@query
+def forest_importance(spark, sf_dir):
+    """Every feature has an importance of 0 or more, and all add up to 1."""
+    found = models.feature_importance(_forest(_train_table(spark, sf_dir)), RAW_FEATURES, spark)
+    total = F.sum("importance").over(W.partitionBy())  # one row a feature
+    return found.select("feature", (F.col("importance") >= 0).alias("valid"), (F.abs(total - 1.0) < CLOSE).alias("whole"))
+
+
+@query
+def model_catalogue(spark, sf_dir):
+    table = _train_table(spark, sf_dir)
+    found = models.model_catalogue({"Logistic Regression": _logistic(table), "Random Forest": _forest(table)}, RAW_FEATURES, spark)
+    return found.select("model", "n_features", "n_classes", "untuned")
+
+
+@query
+def class_order(spark, sf_dir):
+    """The class behind each place of a model's probabilities, after the check that raises."""
+    model = _forest(_train_table(spark, sf_dir))
+    models.check_class_order(model, sorted(CLASSES))
+    return spark.createDataFrame(list(enumerate(models.model_classes(model))), "position long, label string")
+
+
+@query
+def isolation_forest(spark, sf_dir):
+    """Trees, rows behind each, scored rows and rows with a score between 0 and 1."""
+    rows = prep.original_features(fx.flows(spark, sf_dir))
+    forest = settle(models.fit_isolation_forest(rows, RAW_FEATURES))
+    scored = models.score_isolation_forest(rows, forest, RAW_FEATURES)
+    size = F.get("size", F.lit(0))
+    trees = forest.agg(F.count(F.lit(1)).alias("n_trees"), F.min(size).cast("long").alias("least"), F.max(size).cast("long").alias("most"))
+    found = scored.agg(F.count(F.lit(1)).alias("n_scored"), F.count_if((F.col("score") > 0) & (F.col("score") < 1)).alias("n_valid"))
+    return trees.crossJoin(found)  # two tables of one row
+
+
+@query
+def aligned_features(spark, sf_dir):
+    """Raw features beside the split; a flow without a partner would raise."""
+    flows = fx.flows(spark, sf_dir)
+    split = prep.stratified_split(flows.select("flow_id", "label")).select("flow_id", "split")
+    return rounded(prep.join_aligned(prep.original_features(flows), split))

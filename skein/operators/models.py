@@ -9,15 +9,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (
-    LinearSVC,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -110,22 +105,37 @@ def _fourier_basis(n: int, gamma: float, terms: int, seed: int) -> tuple[np.ndar
     return rng.normal(0.0, np.sqrt(2.0 * gamma), (n, terms)), rng.uniform(0.0, 2.0 * np.pi, terms)
 
 
-def fourier_features(
-    df: DataFrame, features: list[str], gamma: float, terms: int = FOURIER_TERMS, seed: int = SEED
-) -> DataFrame:
-    """Add ``fourier``: random cosine features whose inner products approach an RBF kernel."""
-    weights, phases = _fourier_basis(len(features), gamma, terms, seed)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def expand(rows: pd.Series) -> pd.Series:
-        x = np.stack(rows.to_numpy()).astype(float)
-        return pd.Series(list(np.sqrt(2.0 / terms) * np.cos(x @ weights + phases)))
-
-    return df.withColumn("fourier", array_to_vector(expand(vector(features))))
+def _fourier(x: np.ndarray, basis: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Random cosine features, whose inner products approach an RBF kernel, and a constant 1."""
+    weights, phases = basis
+    out = np.sqrt(2.0 / len(phases)) * np.cos(x @ weights + phases)
+    return np.hstack([out, np.ones((len(x), 1))])
+
+
+def couple(pairwise: np.ndarray, pairs: list[tuple[int, int]], k: int) -> np.ndarray:
+    """(n, k) class probabilities from (n, pairs) probabilities of the first class of each pair:
+    those that disagree least with all pairs, by one linear system a row."""
+    n = len(pairwise)
+    if k == 1:
+        return np.ones((n, 1))
+    r = np.zeros((n, k, k))
+    for p, (a, b) in enumerate(pairs):
+        r[:, a, b] = np.clip(pairwise[:, p], 1e-7, 1 - 1e-7)
+        r[:, b, a] = 1.0 - r[:, a, b]
+    system = np.zeros((n, k + 1, k + 1))
+    system[:, :k, :k] = -r * r.transpose(0, 2, 1)
+    diagonal = np.arange(k)
+    system[:, diagonal, diagonal] = (r * r).sum(axis=1)
+    system[:, :k, k] = system[:, k, :k] = 1.0
+    right = np.zeros((n, k + 1, 1))
+    right[:, k] = 1.0
+    found = np.clip(np.linalg.solve(system, right)[:, :k, 0], 0.0, None)
+    return found / found.sum(axis=1, keepdims=True)
 
 
 class KernelSvm:
-    """RBF SVM: random Fourier features, one linear SVM per class, probabilities from the margins."""
+    """RBF SVM: random Fourier features, one linear machine per pair of classes, a curve from each
+    pair's margins to its probability, and class probabilities by pairwise coupling."""
 
     def __init__(
         self,
@@ -134,51 +144,115 @@ class KernelSvm:
         seed: int,
         index: PipelineModel,
         slopes: np.ndarray,
-        offsets: np.ndarray,
+        curves: np.ndarray,
+        settings: dict[str, str],
     ):
         self.features, self.gamma, self.seed, self.index = list(features), gamma, seed, index
-        self.slopes, self.offsets = slopes, offsets
-        self.scale: PipelineModel | None = None
+        #: (terms + 1, pairs) with the offsets last; (pairs, 2) slope and offset of the curves
+        self.slopes, self.curves, self.settings = slopes, curves, settings
 
-    def margins(self, df: DataFrame) -> DataFrame:
-        """Add ``label_index`` and ``margins``, one per class, in one pass over the raw columns."""
-        terms = len(self.slopes)
-        weights, phases = _fourier_basis(len(self.features), self.gamma, terms, self.seed)
-        slopes, offsets = self.slopes, self.offsets
+    @property
+    def pairs(self) -> list[tuple[int, int]]:
+        return _class_pairs(len(model_classes(self)))
 
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def margin(rows: pd.Series) -> pd.Series:
-            x = np.stack(rows.to_numpy()).astype(float)
-            mapped = np.sqrt(2.0 / terms) * np.cos(x @ weights + phases)
-            return pd.Series(list(mapped @ slopes + offsets))
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``label_index``, ``probability`` and ``prediction`` in one pass over the raw columns."""
+        basis = _fourier_basis(len(self.features), self.gamma, len(self.slopes) - 1, self.seed)
+        slopes, curves, pairs, k = self.slopes, self.curves, self.pairs, len(model_classes(self))
 
-        indexed = self.index.transform(df)
-        return indexed.withColumn("margins", array_to_vector(margin(vector(self.features))))
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def probabilities(rows: pd.Series) -> pd.Series:
+            margins = _fourier(np.stack(rows.to_numpy()).astype(float), basis) @ slopes
+            return pd.Series(list(couple(_sigmoid(margins * curves[:, 0] + curves[:, 1]), pairs, k)))
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.scale.transform(self.margins(df))
+        scored = self.index.transform(df).withColumn("_p", probabilities(vector(self.features)))
+        best = F.array_position(F.col("_p"), F.array_max("_p")) - 1
+        return scored.withColumn("prediction", best.cast("double")).withColumn("probability", array_to_vector("_p")).drop("_p")
 
     @property
     def stages(self) -> list:
-        return [*self.index.stages, *self.scale.stages]
+        return list(self.index.stages)
 
     def save(self, path: str) -> None:
         self.index.write().overwrite().save(f"{path}/index")
-        self.scale.write().overwrite().save(f"{path}/scale")
-        spark = SparkSession.active()
-        row = (self.features, self.gamma, self.seed, self.slopes.tolist(), self.offsets.tolist())
-        schema = "features array<string>, gamma double, seed long, slopes array<array<double>>, offsets array<double>"
-        spark.createDataFrame([row], schema).write.mode("overwrite").parquet(f"{path}/margins")
+        row = (self.features, self.gamma, self.seed, self.slopes.tolist(), self.curves.tolist(), self.settings)
+        schema = (
+            "features array<string>, gamma double, seed long, slopes array<array<double>>, "
+            "curves array<array<double>>, settings map<string,string>"
+        )
+        SparkSession.active().createDataFrame([row], schema).write.mode("overwrite").parquet(f"{path}/margins")
 
     @classmethod
     def load(cls, path: str) -> KernelSvm:
-        row = SparkSession.active().read.parquet(f"{path}/margins").first()
+        r = SparkSession.active().read.parquet(f"{path}/margins").first()
         index = PipelineModel.load(f"{path}/index")
-        found = cls(
-            row["features"], row["gamma"], row["seed"], index, np.array(row["slopes"]), np.array(row["offsets"])
-        )
-        found.scale = PipelineModel.load(f"{path}/scale")
-        return found
+        curves = np.array(r["curves"]).reshape(-1, 2)
+        return cls(r["features"], r["gamma"], r["seed"], index, np.array(r["slopes"]), curves, dict(r["settings"]))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
+
+
+def _class_pairs(k: int) -> list[tuple[int, int]]:
+    return [(a, b) for a in range(k) for b in range(a + 1, k)]
+
+
+def _pair_sums(rows: DataFrame, basis, pairs: list[tuple[int, int]], work: Callable) -> np.ndarray:
+    """Sums over all rows of ``work(z, sign, weight)``, a flat array: z the Fourier features, sign
+    (rows, pairs) +1 and -1 for the two classes of a pair and 0 for others. One pass for all pairs;
+    a task sends one array, and the arrays are added up by place."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, label = np.stack(batch["x"].to_numpy()).astype(float), batch["label_index"].to_numpy().astype(int)
+            sign = np.stack([(label == a).astype(float) - (label == b) for a, b in pairs], axis=1)
+            part = work(_fourier(x, basis), sign, batch["weight"].to_numpy().astype(float))
+            total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"sums": [total]})
+
+    parts = rows.mapInPandas(run, "sums array<double>").select(F.posexplode("sums").alias("i", "v"))
+    found = parts.groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # one row a parameter
+    return np.array([r["v"] for r in found])
+
+
+def _minimise(value: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, max_iter: int, memory: int = 10) -> np.ndarray:
+    """Limited-memory quasi-Newton descent; ``value`` gives the loss and its slope."""
+    f, g = value(x)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(max_iter):
+        if np.abs(g).max() < 1e-6:
+            break
+        d, kept = -g, []
+        for s, y in reversed(steps):
+            a = (s @ d) / (s @ y)
+            d = d - a * y
+            kept.append(a)
+        if steps:
+            s, y = steps[-1]
+            d = d * ((s @ y) / (y @ y))
+        for (s, y), a in zip(steps, reversed(kept)):
+            d = d + s * (a - (y @ d) / (s @ y))
+        size, slope = (1.0 if steps else min(1.0, 1.0 / np.abs(g).sum())), g @ d
+        for _ in range(20):
+            nf, ng = value(x + size * d)
+            if nf <= f + 1e-4 * size * slope:
+                break
+            size /= 2
+        else:
+            break
+        s, y = size * d, ng - g
+        if s @ y > 1e-12:
+            steps = [*steps, (s, y)][-memory:]
+        small = abs(f - nf) <= 1e-9 * max(1.0, abs(f))
+        x, f, g = x + s, nf, ng
+        if small:
+            break
+    return x
 
 
 def kernel_width(df: DataFrame, features: list[str]) -> float:
@@ -198,23 +272,53 @@ def fit_svm(
     c: float = 1.0,
     max_iter: int = 100,
     seed: int = SEED,
+    terms: int = FOURIER_TERMS,
 ) -> KernelSvm:
+    """One machine per pair of classes, all fitted in the same passes over the rows: squared hinge
+    loss with a penalty of strength 1/c on its sum, then a logistic curve over each pair's margins.
+    Raw vectors are settled once; their Fourier features are formed inside the tasks of a pass."""
     gamma = kernel_width(train, features)
     labelled = _labelled(train, label, balanced)
     index = Pipeline(stages=_stages(features, label)[:1]).fit(labelled)
-    rows = fourier_features(index.transform(labelled), features, gamma, seed=seed)
-    linear = LinearSVC(regParam=1.0 / (c * rows.count()), maxIter=max_iter, standardization=False)
-    one_vs_rest = OneVsRest(
-        classifier=linear, featuresCol="fourier", labelCol="label_index", weightCol="weight"
-    )
-    parts = one_vs_rest.fit(rows).models
-    slopes = np.array([m.coefficients.toArray() for m in parts]).T
-    model = KernelSvm(features, gamma, seed, index, slopes, np.array([m.intercept for m in parts]))
-    platt = LogisticRegression(
-        featuresCol="margins", labelCol="label_index", family="multinomial", maxIter=100
-    )
-    model.scale = Pipeline(stages=[platt]).fit(model.margins(train))
-    return model
+    k = len(index.stages[0].labels)
+    pairs, basis = _class_pairs(k), _fourier_basis(len(features), gamma, terms, seed)
+    settings = {"c": str(c), "maxIter": str(max_iter), "terms": str(terms), "gamma": repr(gamma)}
+    if not pairs:
+        return KernelSvm(features, gamma, seed, index, np.zeros((terms + 1, 0)), np.zeros((0, 2)), settings)
+    rows = settle(index.transform(labelled).select("weight", F.col("label_index").cast("int").alias("label_index"), vector(features).alias("x")))
+    n, shape = rows.count(), (terms + 1, len(pairs))
+
+    def loss(flat: np.ndarray) -> tuple[float, np.ndarray]:
+        slopes = flat.reshape(shape)
+
+        def work(z: np.ndarray, sign: np.ndarray, weight: np.ndarray) -> np.ndarray:
+            slack = np.where(sign != 0, np.maximum(0.0, 1.0 - sign * (z @ slopes)), 0.0)
+            pull = weight[:, None] * sign * slack
+            return np.append((-2.0 * z.T @ pull).ravel(), (weight[:, None] * slack * slack).sum())
+
+        sums = _pair_sums(rows, basis, pairs, work)
+        free = slopes.copy()
+        free[-1] = 0.0  # offsets are not penalised
+        return (sums[-1] * c + 0.5 * (free * free).sum()) / n, ((sums[:-1] * c).reshape(shape) + free).ravel() / n
+
+    slopes = _minimise(loss, np.zeros(shape).ravel(), max_iter).reshape(shape)
+
+    def curve(flat: np.ndarray) -> tuple[float, np.ndarray]:
+        ab = flat.reshape(-1, 2)
+
+        def work(z: np.ndarray, sign: np.ndarray, weight: np.ndarray) -> np.ndarray:
+            margin = z @ slopes
+            p = np.clip(_sigmoid(margin * ab[:, 0] + ab[:, 1]), 1e-12, 1 - 1e-12)
+            used = sign != 0
+            off = np.where(used, p - (sign > 0), 0.0)
+            total = -np.where(used, np.log(np.where(sign > 0, p, 1 - p)), 0.0).sum()
+            return np.concatenate([(off * margin).sum(axis=0), off.sum(axis=0), [total]])
+
+        sums = _pair_sums(rows, basis, pairs, work)
+        return sums[-1] / n, (sums[:-1].reshape(2, -1).T / n).ravel()
+
+    curves = _minimise(curve, np.tile([1.0, 0.0], len(pairs)), 50).reshape(-1, 2)
+    return KernelSvm(features, gamma, seed, index, slopes, curves, settings)
 
 
 def model_classes(model) -> list[str]:
@@ -239,6 +343,67 @@ def score_rows(model: Transformer | KernelSvm, df: DataFrame, keep: list[str]) -
     )
 
 
+def coefficient_table(model: PipelineModel, features: list[str], spark: SparkSession) -> DataFrame:
+    """(class, feature, coefficient) of a logistic regression; the intercept is feature null."""
+    fitted = model.stages[-1]
+    matrix, offset = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+    rows = [(c, f, float(v)) for c, line in zip(model_classes(model), matrix) for f, v in zip(features, line)]
+    rows += [(c, None, float(v)) for c, v in zip(model_classes(model), offset)]
+    return spark.createDataFrame(rows, "class string, feature string, coefficient double")
+
+
+def _linear_terms(coefficients: DataFrame) -> dict[str, Column]:
+    """The linear term of each class as a column; the table has one row a class and feature."""
+    terms: dict[str, Column] = {}
+    for r in coefficients.orderBy("class", F.col("feature").asc_nulls_first()).collect():
+        part = F.lit(r["coefficient"]) if r["feature"] is None else F.lit(r["coefficient"]) * F.col(r["feature"])
+        terms[r["class"]] = terms[r["class"]] + part if r["class"] in terms else part
+    return terms
+
+
+def score_columns(df: DataFrame, coefficients: DataFrame, keep: list[str]) -> DataFrame:
+    """As ``score_rows`` for a logistic regression, from its coefficient table alone and in column
+    expressions: (keep.., predicted, probabilities) in the order of the sorted classes."""
+    terms = _linear_terms(coefficients)
+    names = list(terms)
+    rows = df.select(*keep, F.array(*terms.values()).alias("_terms"))
+    # the largest term is taken off, so that no exponential overflows
+    powers = F.transform("_terms", lambda t: F.exp(t - F.array_max("_terms")))
+    rows = rows.withColumn("_powers", powers)
+    rows = rows.withColumn("_total", F.aggregate("_powers", F.lit(0.0), lambda s, x: s + x))
+    best = F.array_position(F.col("_terms"), F.array_max("_terms")).cast("int")
+    return rows.select(
+        *keep,
+        F.element_at(F.array(*[F.lit(c) for c in names]), best).alias("predicted"),
+        F.transform("_powers", lambda x: x / F.col("_total")).alias("probabilities"),
+    )
+
+
+def penalty_gradient(
+    train: DataFrame, model: PipelineModel, features: list[str], label: str = "label", balanced: bool = True, c: float = 1.0
+) -> DataFrame:
+    """(class, feature, gradient): slope of the penalised mean loss at the fitted coefficients, near
+    0 at the optimum; feature null is the intercept. One aggregate over the training rows."""
+    rows = _labelled(train, label, balanced)
+    found = rows.agg(F.count(F.lit(1)), F.sum("weight")).first()
+    strength, weight = 1.0 / (c * found[0]), found[1]
+    table = coefficient_table(model, features, train.sparkSession)
+    held = {(r["class"], r["feature"]): r["coefficient"] for r in table.collect()}
+    classes = model_classes(model)
+    scored = score_columns(rows.withColumn("_x", vector(features)), table, [label, "weight", "_x"])
+    sums = []
+    for k, name in enumerate(classes):
+        off = F.col("weight") * (F.get("probabilities", F.lit(k)) - (F.col(label) == name).cast("double"))
+        sums.append(F.sum(off).alias(f"s{k}_"))
+        sums += [F.sum(off * F.get("_x", F.lit(j))).alias(f"s{k}_{j}") for j in range(len(features))]
+    total = scored.agg(*sums).first()
+    out = []
+    for k, name in enumerate(classes):
+        out.append((name, None, total[f"s{k}_"] / weight))
+        out += [(name, f, total[f"s{k}_{j}"] / weight + strength * held[name, f]) for j, f in enumerate(features)]
+    return train.sparkSession.createDataFrame(out, "class string, feature string, gradient double")
+
+
 def feature_importance(model: PipelineModel, features: list[str], spark: SparkSession) -> DataFrame:
     """(feature, importance) of a forest; one row per feature."""
     values = model.stages[-1].featureImportances.toArray()
@@ -276,6 +441,9 @@ def model_catalogue(models: dict[str, object], features: list[str], spark: Spark
     """
     rows = []
     for name, model in models.items():
+        if isinstance(model, KernelSvm):
+            rows.append((name, len(features), len(model_classes(model)), model.settings, False))
+            continue
         last = model.stages[-1]
         chosen = {p.name: str(v) for p, v in last.extractParamMap().items()}
         tuned = [

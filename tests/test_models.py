@@ -1,5 +1,6 @@
 """Model operators on the derived flow table, kept small by few trees and iterations."""
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -57,6 +58,46 @@ def test_svm_persistence(table, tmp_path):
     one = models.score_rows(model, table, ["flow_id"]).orderBy("flow_id").collect()
     two = models.score_rows(again, table, ["flow_id"]).orderBy("flow_id").collect()
     assert one == two
+    assert models.model_classes(model) == CLASS_NAMES and model.pairs == [(0, 1), (0, 2), (1, 2)]
+    assert all(abs(sum(r["probabilities"]) - 1) < 1e-9 and min(r["probabilities"]) >= 0 for r in one)
+    assert all(r["predicted"] == CLASS_NAMES[max(range(3), key=r["probabilities"].__getitem__)] for r in one)
+
+
+def test_coupling_gives_back_consistent_probabilities():
+    r = np.random.default_rng(1)
+    p = r.dirichlet([1.0] * 4, 50)
+    pairs = [(a, b) for a in range(4) for b in range(a + 1, 4)]
+    pairwise = np.stack([p[:, a] / (p[:, a] + p[:, b]) for a, b in pairs], axis=1)
+    assert np.allclose(models.couple(pairwise, pairs, 4), p, atol=1e-6)
+    # noise: least squares against a dense search over a grid of three classes
+    three = [(0, 1), (0, 2), (1, 2)]
+    noisy = np.array([[0.9, 0.3, 0.4]])
+    grid = np.array([(a, b, 1 - a - b) for a in np.linspace(0, 1, 201) for b in np.linspace(0, 1 - a, 201)])
+    cost = sum((r_ab * grid[:, b] - (1 - r_ab) * grid[:, a]) ** 2 for r_ab, (a, b) in zip(noisy[0], three))
+    assert np.allclose(models.couple(noisy, three, 3)[0], grid[cost.argmin()], atol=0.02)
+
+
+def test_pairs_are_fitted_in_common_passes(spark, table, monkeypatch):
+    passes = []
+    real = models._pair_sums
+    monkeypatch.setattr(models, "_pair_sums", lambda *a: passes.append(len(a[2])) or real(*a))
+    model = models.fit_svm(table, RAW_FEATURES[:4], max_iter=3, terms=16)
+    assert set(passes) == {3} and model.slopes.shape == (17, 3)
+    one_class = models.fit_svm(table.where(F.col("label") == NORMAL), RAW_FEATURES[:2], max_iter=2, terms=8)
+    assert {tuple(r["probabilities"]) for r in models.score_rows(one_class, table.where(F.col("label") == NORMAL), ["flow_id"]).collect()} == {(1.0,)}
+
+
+def test_scores_from_coefficients_and_optimum(table, spark):
+    train = table.where("split = 'train'")
+    model = models.fit_logistic(train, RAW_FEATURES, max_iter=300)
+    got = models.score_columns(table, models.coefficient_table(model, RAW_FEATURES, spark), ["flow_id"]).orderBy("flow_id").collect()
+    want = models.score_rows(model, table, ["flow_id"]).orderBy("flow_id").collect()
+    assert [r["predicted"] for r in got] == [r["predicted"] for r in want]
+    assert np.allclose([r["probabilities"] for r in got], [r["probabilities"] for r in want], atol=1e-9)
+    flat = models.penalty_gradient(train, model, RAW_FEATURES).collect()
+    assert len(flat) == 3 * 23 and max(abs(r["gradient"]) for r in flat) < 1e-3
+    early = models.fit_logistic(train, RAW_FEATURES, max_iter=2)
+    assert max(abs(r["gradient"]) for r in models.penalty_gradient(train, early, RAW_FEATURES).collect()) > 1e-3
 
 
 def test_class_order_and_persistence(table, tmp_path):
