@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from skein.llm.common import col
 
 #: Patterns of the base kinds, the group whose length counts and the length it must have: fixed values.
+#: A run that is too short holds no other match, so the last two ask for their length at once.
 BASE = (
     ("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
-    ("access", r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", r"[0-9a-f]+", 0, 24),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 
 #: The matches of one of these cover a harmless candidate: words, constants, numbers and dates, what
