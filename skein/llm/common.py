@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,14 +28,95 @@ def shared_path(spark, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
+def shared_table(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: cuts the lineage, so that
-    a lost executor costs a read and not the work that led to the table."""
+    a lost executor costs a read and not the work that led to the table. Inside ``short_lived``
+    only a table that ``stays`` outlives the block."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _MADE and not stays:
+        _MADE[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables written inside each open ``short_lived`` block.
+_MADE: list[list[tuple]] = []
+
+
+@contextmanager
+def short_lived() -> Iterator[None]:
+    """Removes what the block wrote into the shared folder when it ends."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _MADE.pop():
+            _remove(spark, path)
+
+
+def _remove(spark, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop_shared(*tables: DataFrame) -> None:
+    """Remove tables of ``shared_table`` that nothing reads any more."""
+    for table in tables:
+        for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            _remove(table.sparkSession, path)
+
+
+def share(spark, value) -> Callable[[], object]:
+    """Send a value to the executors once; tasks call the result. Objects of this package's classes
+    travel by value, as its functions do, so that workers need no copy of the package."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)
+
+
+def refuse_clashes(keep: list[str], added: list[str]) -> None:
+    """Raise if a result column has the name of a kept one, in whatever spelling."""
+    clash = {c.lower() for c in keep} & {c.lower() for c in added}
+    if clash:
+        raise ValueError(f"columns named {sorted(clash)} are in the table already; give a prefix")
+
+
+def filter_places(keys: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
+    """The place of each key among ``bits`` (a power of two) places."""
+    return (mix64(keys.astype(np.uint64)) & (np.asarray(bits).astype(np.uint64) - np.uint64(1))).astype(np.int64)
+
+
+def filter_block(keys: np.ndarray, most: int) -> bytes:
+    """One bit set for each key, in at most ``most`` bytes and about two bytes a key."""
+    size = 8
+    while size < 2 * len(keys) and 2 * size <= most:
+        size *= 2
+    block = np.zeros(8 * size, bool)
+    block[filter_places(keys, 8 * size)] = True
+    return np.packbits(block, bitorder="little").tobytes()
+
+
+class KeyFilter:
+    """Which 64-bit keys may be among those that a filter was made of: one block of bits for each
+    value of the keys' top bits, filled with the 32 bits below them."""
+
+    def __init__(self, blocks: dict[int, bytes], top: int):
+        every = [blocks.get(p, bytes(8)) for p in range(1 << top)]
+        self.top, self.data = top, np.frombuffer(b"".join(every), np.uint8)
+        self.size = np.array([len(b) for b in every], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        part, low = split_key(keys, self.top)
+        place = filter_places(low, 8 * self.size[part])
+        return (self.data[self.start[part] + (place >> 3)] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def split_key(keys: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``top`` bits of 64-bit keys, and the 32 bits below them."""
+    low = (keys >> np.uint64(32 - top)) & np.uint64(0xFFFFFFFF)
+    return (keys >> np.uint64(64 - top)).astype(np.int64), low.astype(np.uint32)
+
+
 def col(name: str) -> Column:
     """A column by its exact name, dots and spaces included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -74,8 +158,10 @@ def map_texts(
     """One output row per row: the columns ``keep`` and those computed from the whole text.
 
     ``make`` runs once in each task and returns the function from an Arrow string array
-    without nulls (a null text counts as empty) to the arrays of ``fields``.
+    without nulls (a null text counts as empty) to the arrays of ``fields``. A field with the name
+    of a kept column raises an error.
     """
+    refuse_clashes(keep, [f.name for f in fields])
     shown = text in keep  # then the text goes to the task once
     source = df.select(*[col(c) for c in keep], *([] if shown else [col(text).alias(free_name(df, "text_of_row"))]))
     schema = T.StructType([source.schema[c] for c in keep] + fields)

@@ -32,14 +32,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.llm.common import SLICE_BYTES, byte_slices, col, flat_bytes, mix64, shared_table, word_hashes
+from skein.llm.common import KeyFilter, byte_slices, col, filter_block, flat_bytes, mix64, shared_table, split_key, word_hashes
 from skein.session import shuffle_partitions
 
 #: Characters between pieces, and those between words; fixed values.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 
+#: Bytes of text whose phrases a task holds at once.
+SLICE_BYTES = 4 << 20
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BITS = np.uint64(0xFFFFFFFF)
 
 
 @dataclass(frozen=True)
@@ -135,21 +137,6 @@ class Summary:
         return self.keys[self.counts + self.lost >= threshold]
 
 
-def _slots(keys: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
-    """The place of each key among ``bits`` (a power of two) places."""
-    return mix64(keys.astype(np.uint64)) & (np.asarray(bits).astype(np.uint64) - np.uint64(1))
-
-
-def _filter_block(keys: np.ndarray, most: int) -> bytes:
-    """One bit set for each key, in at most ``most`` bytes."""
-    size = 8
-    while size < 2 * len(keys) and 2 * size <= most:
-        size *= 2
-    block = np.zeros(8 * size, bool)
-    block[_slots(keys, 8 * size).astype(np.int64)] = True
-    return np.packbits(block, bitorder="little").tobytes()
-
-
 def _read(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(
         F.coalesce(col(text), F.lit("")).alias("text"), F.coalesce(col(lang).cast("string"), F.lit("und")).alias("lang")
@@ -176,8 +163,7 @@ def _summaries(rows: DataFrame, settings: PhraseSettings) -> tuple[int, DataFram
     def count(batches):
         for words in _slices(batches):
             keys, counts = np.unique(np.concatenate([h for _, _, h in words.hashes(settings.longest)]), return_counts=True)
-            part = (keys >> np.uint64(64 - bits)).astype(np.int64)
-            keys = ((keys >> np.uint64(32 - bits)) & _BITS).astype(np.uint32)
+            part, keys = split_key(keys, bits)
             parts, first = np.unique(part, return_index=True)
             for p, start, stop in zip(parts.tolist(), first, [*first[1:], len(part)]):
                 key, n = keys[start:stop], counts[start:stop]
@@ -197,7 +183,7 @@ def _summaries(rows: DataFrame, settings: PhraseSettings) -> tuple[int, DataFram
 
         def block():
             keys = np.unique(np.concatenate([*sure, summary.survivors(threshold)])) if summary else np.zeros(0, np.uint32)
-            made = _filter_block(keys, max(8, settings.filter_bytes >> bits))
+            made = filter_block(keys, max(8, settings.filter_bytes >> bits))
             return pa.RecordBatch.from_pydict(
                 {"part": [now], "survivors": [len(keys)], "block": [made]},
                 schema=pa.schema([("part", pa.int32()), ("survivors", pa.int64()), ("block", pa.binary())]),
@@ -229,48 +215,83 @@ def _count_survivors(rows: DataFrame, settings: PhraseSettings, bits: int, block
     phrase for all words of each language."""
     # at most filter_bytes, or 8 bytes a partition
     held = {p: bytes(b) for p, b in blocks.select("part", "block").collect()}
-    blank = np.zeros(8, np.uint8).tobytes()
-    every = [held.get(p, blank) for p in range(1 << bits)]
-    sizes = np.array([len(b) for b in every], np.int64)
-    shared = rows.sparkSession.sparkContext.broadcast((b"".join(every), sizes))
-
-    def passes(keys: np.ndarray) -> np.ndarray:
-        data, size = np.frombuffer(shared.value[0], np.uint8), shared.value[1]
-        start = np.cumsum(size) - size
-        part = (keys >> np.uint64(64 - bits)).astype(np.int64)
-        slot = _slots((keys >> np.uint64(32 - bits)) & _BITS, 8 * size[part]).astype(np.int64)
-        return (data[start[part] + (slot >> 3)] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+    shared = rows.sparkSession.sparkContext.broadcast(held)
 
     def count(batches):
+        wanted = KeyFilter(shared.value, bits)
         for words in _slices(batches):
             langs, values, number = words.langs, words.values, words.number
-            total = np.bincount(words.lang, minlength=len(langs))
-            yield _counted(langs, pa.nulls(len(langs), pa.large_string()), 0, total)
+            found = [_Found(np.zeros(len(langs), np.int64), langs, pa.nulls(len(langs), pa.large_string()), 0, np.bincount(words.lang, minlength=len(langs)))]
             name = words.lang * len(values) + number  # of the phrase at each place; equal for equal phrases
             alive = np.ones(len(number), bool)
             for n, at, keys in words.hashes(settings.longest):
                 stay = alive[at]
                 at, keys = at[stay], keys[stay]
-                at = at[passes(keys)]
+                stay = wanted.passes(keys)
+                at, keys = at[stay], keys[stay]
                 alive = np.zeros(len(number), bool)
                 alive[at] = True
                 key = name[at] if n == 1 else name[at] * len(values) + number[at + n - 1]
-                _, first, again, found = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                _, first, again, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
                 name[at] = again
-                if len(first):
-                    place = at[first]
-                    parts = [values.take(pa.array(number[place + k])) for k in range(n)]
-                    phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
-                    yield _counted(langs.take(pa.array(words.lang[place])), phrase, n, found)
-
-    parts = rows.mapInArrow(count, "lang string, phrase string, words int, n long")
+                place = at[first]
+                parts = [values.take(pa.array(number[place + k])) for k in range(n)]
+                phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
+                part, _ = split_key(keys[first], bits)
+                found.append(_Found(part, langs.take(pa.array(words.lang[place])), phrase, n, times))
+            yield _by_part(found)
+
+    def add(batches):
+        """Sums of what arrives, in memory up to ``counters`` phrases; then they go on as they are."""
+        held = None
+        for batch in batches:
+            lists = [batch.column(c).flatten() for c in ("lang", "phrase", "words", "n")]
+            new = pa.table(lists, names=["lang", "phrase", "words", "n"])
+            held = new if held is None else pa.concat_tables([held, new])
+            if len(held) > 2 * settings.counters:
+                held = _sums(held)
+                if len(held) > settings.counters:
+                    yield from held.to_batches()
+                    held = None
+        if held is not None:
+            yield from _sums(held).to_batches()
+
+    counted = rows.mapInArrow(count, "part int, lang array<string>, phrase array<string>, words array<int>, n array<long>")
+    parts = counted.repartitionById(1 << bits, F.col("part")).mapInArrow(add, "lang string, phrase string, words int, n long")
     summed = parts.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
     return summed.where(F.col("phrase").isNull() | (F.col("n") >= settings.threshold))
 
 
-def _counted(lang: pa.Array, phrase: pa.Array, words: int, n: np.ndarray) -> pa.RecordBatch:
-    columns = [lang.cast(pa.string()), phrase.cast(pa.string()), pa.array(np.full(len(n), words, np.int32)), pa.array(n, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "n"])
+@dataclass
+class _Found:
+    """Phrases of one length in a slice: hash partition, language, phrase, words and occurrences."""
+
+    part: np.ndarray
+    lang: pa.Array
+    phrase: pa.Array
+    words: int
+    n: np.ndarray
+
+
+def _by_part(found: list[_Found]) -> pa.RecordBatch:
+    """One row for each hash partition, with lists of its phrases."""
+    part = np.concatenate([f.part for f in found])
+    order = np.argsort(part, kind="stable")
+    parts, start = np.unique(part[order], return_index=True)
+    ends = pa.array(np.append(start, len(part)).astype(np.int32))
+    columns = [
+        pa.concat_arrays([f.lang for f in found]).cast(pa.string()),
+        pa.concat_arrays([f.phrase for f in found]).cast(pa.string()),
+        pa.array(np.concatenate([np.full(len(f.n), f.words, np.int32) for f in found])),
+        pa.array(np.concatenate([f.n for f in found]), pa.int64()),
+    ]
+    lists = [pa.ListArray.from_arrays(ends, c.take(pa.array(order))) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), *lists], names=["part", "lang", "phrase", "words", "n"])
+
+
+def _sums(counted: pa.Table) -> pa.Table:
+    keys = ["lang", "phrase", "words"]
+    return counted.group_by(keys, use_threads=False).aggregate([("n", "sum")]).rename_columns([*keys, "n"]).combine_chunks()
 
 
 def count_phrases(
