@@ -107,3 +107,52 @@ FROM texts LEFT JOIN every USING (doc) GROUP BY doc, doc_id
 
 
 ORACLE["op12_secret_scan"] = _secret_scan()
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE["op8_jaccard_join"] = rf"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(list_slice(w, s, s + 2), ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS s FROM words WHERE len(w) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS k FROM shingles GROUP BY doc_id
+), links AS (
+    SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+        FROM shingles AS x JOIN shingles AS y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL)
+    JOIN sizes AS p ON p.doc_id = a JOIN sizes AS q ON q.doc_id = b WHERE 100 * n >= 90 * (p.k + q.k - n)
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+)
+SELECT documents.doc_id, coalesce(k, 0) AS n_shingles, component_id
+FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+"""
+
+_NAMES = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE["op9_decontamination"] = f"""
+WITH item_words AS (
+    SELECT item_id, w, least(10, len(w)) AS k FROM (SELECT item_id, {_NAMES} AS w FROM benchmark) WHERE len(w) > 0
+), windows AS (
+    SELECT DISTINCT item_id, k, array_to_string(list_slice(w, s, s + k - 1), ' ') AS g
+    FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS s FROM item_words)
+), words AS (
+    SELECT row_number() OVER () AS doc, doc_id, {_NAMES} AS w FROM documents
+), places AS (
+    SELECT doc, k, s, array_to_string(list_slice(w, s, s + k - 1), ' ') AS g
+    FROM (SELECT doc, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM words, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)
+), found AS (
+    SELECT doc, s, k, item_id FROM places JOIN windows USING (k, g)
+), hits AS (
+    SELECT doc, count(DISTINCT p) AS n_hit FROM (SELECT doc, unnest(range(s, s + k)) AS p FROM found) GROUP BY doc
+), items AS (
+    SELECT doc, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names
+    FROM (SELECT DISTINCT doc, item_id FROM found) GROUP BY doc
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hits USING (doc) LEFT JOIN items USING (doc)
+"""
