@@ -451,7 +451,8 @@ ORACLE["roc_points"] = with_(
     c AS (SELECT *, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER (PARTITION BY target) AS np,
       sum(q) OVER (PARTITION BY target) AS nq FROM g
       WINDOW w AS (PARTITION BY target ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
-    f"SELECT target, {r('score', 4)} AS threshold, {r('CAST(fp AS DOUBLE) / nq')} AS fpr, {r('CAST(tp AS DOUBLE) / np')} AS tpr FROM c",
+    f"""SELECT target, {r('score', 4)} AS threshold, {r('CAST(fp AS DOUBLE) / nq')} AS fpr, {r('CAST(tp AS DOUBLE) / np')} AS tpr FROM c
+    UNION ALL SELECT DISTINCT target, NULL, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM c""",
 )
 _own = "CASE label " + " ".join(f"WHEN '{c}' THEN p{i}" for i, c in enumerate(CLASSES)) + " END"
 _stats = "count(*) AS n, " + ", ".join(
@@ -530,9 +531,11 @@ ORACLE["ttest_delta"] = with_(
     {r('avg(accuracy_delta_pct) / nullif(stddev_samp(accuracy_delta_pct) / sqrt(count(*)), 0)')} AS t FROM delta""",
 )
 ORACLE["auc_improvement"] = with_(
-    f"{DETECTED}, {auc_ctes(z_auc_rows({'c2': 'c2_zscore', 'overall': 'overall_zscore'}, EACH_ATTACK))}",
-    f"""SELECT a.target, {r('a.auc')} AS baseline_auc, {r('b.auc')} AS enhanced_auc, {r('b.auc - a.auc')} AS improvement
-    FROM auc a JOIN auc b ON a.target = b.target AND a.name = 'c2' AND b.name = 'overall'""",
+    f"""{DETECTED}, {auc_ctes(z_auc_rows({'c2': 'c2_zscore', 'overall': 'overall_zscore'}, EACH_ATTACK))},
+    pair AS (SELECT a.target, a.auc AS x, b.auc AS y, a.n_pos AS w FROM auc a JOIN auc b ON a.target = b.target AND a.name = 'c2' AND b.name = 'overall'),
+    every AS (SELECT target, x, y FROM pair UNION ALL SELECT 'macro', avg(x), avg(y) FROM pair
+      UNION ALL SELECT 'weighted', sum(x * w) / sum(w), sum(y * w) / sum(w) FROM pair)""",
+    f"SELECT target, {r('x')} AS baseline_auc, {r('y')} AS enhanced_auc, {r('y - x')} AS improvement FROM every",
 )
 _imp_names = [*RAW_FEATURES, *DISTANCE_FEATURES]
 IMPORTANCE = (
@@ -823,3 +826,27 @@ ORACLE["aligned_features"] = with_(
     SPLIT + ", " + ENCODED.removeprefix(FLOWS + ", "),
     f"SELECT e.flow_id, e.label, {_raw_rounded}, split FROM encoded e JOIN split USING (flow_id)",
 )
+ORACLE["throughput"] = with_(
+    FLOWS,
+    f"""SELECT count(*) AS n_samples, CAST(3180 AS DOUBLE) AS seconds, {r('count(*) / 3180.0')} AS per_second,
+    CAST(2 AS DOUBLE) AS size_ratio FROM flows""",
+)
+ORACLE["approx_distinct"] = with_(
+    f"{ENCODED}, cells AS ({cells(RAW_FEATURES, 'encoded', 'label')})",
+    "SELECT feature, label, count(DISTINCT value) AS exact, true AS within FROM cells WHERE value IS NOT NULL GROUP BY feature, label",
+)
+_vectors = {m: ", ".join(f"CAST({c} AS DOUBLE)" for c in columns) for m, columns in MANIFOLD_FEATURES.items()}
+ORACLE["knn_flows"] = with_(
+    SPLIT
+    + ", "
+    + ENCODED.removeprefix(FLOWS + ", ")
+    + ", raw_points AS ("
+    + unions([f"SELECT flow_id, '{m}' AS manifold, [{v}] AS vec FROM encoded" for m, v in _vectors.items()])
+    + """), comps AS (SELECT flow_id, manifold, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM raw_points),
+fit AS (SELECT manifold, i, avg(x) AS m, stddev_pop(x) AS s FROM comps GROUP BY manifold, i),
+points AS (SELECT flow_id, manifold, split, list((x - m) / CASE WHEN s = 0 THEN 1 ELSE s END ORDER BY i) AS vec
+  FROM comps JOIN fit USING (manifold, i) JOIN split USING (flow_id) GROUP BY flow_id, manifold, split),
+near AS (SELECT a.split, a.manifold, a.flow_id, min(list_distance(a.vec, b.vec), 100) AS d
+  FROM points a JOIN points b ON a.split = b.split AND a.manifold = b.manifold GROUP BY ALL)""",
+    f"SELECT split, manifold, flow_id, len(d) AS n, {r('list_max(d)', 4)} AS farthest, {r('list_sum(d)', 4)} AS total FROM near",
+)

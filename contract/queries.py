@@ -12,8 +12,18 @@ from contract import fixtures as fx
 from skein.functions.columns import cap_death, is_class
 from skein.operators import auc as roc
 from skein.operators import compare, detect, distance, evaluate, features, knn, models, neighbors, prep, profile, topology
-from skein.schema import CLASSES, KEY_FEATURES, MANIFOLDS, NORMAL, RAW_FEATURES
+from skein.schema import (
+    CLASSES,
+    FRAME_AFTER,
+    FRAME_BEFORE,
+    K_NEIGHBORS,
+    KEY_FEATURES,
+    MANIFOLDS,
+    NORMAL,
+    RAW_FEATURES,
+)
 from skein.session import settle
+from skein.sources import sinks
 from skein.sources.sinks import run_metadata
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -289,7 +299,9 @@ def auc_multiclass(spark, sf_dir):
 def roc_points(spark, sf_dir):
     attacks = [c for c in CLASSES if c != NORMAL]
     points = roc.roc_points(_detected(spark, sf_dir), detect.max_zscore(), roc.class_targets(attacks))
-    return rounded(points.where(F.col("threshold") != float("inf")), 6, threshold=4)
+    # a curve starts above every score: no threshold
+    threshold = F.when(F.col("threshold") != float("inf"), F.col("threshold"))
+    return rounded(points.withColumn("threshold", threshold), 6, threshold=4)
 
 
 @query
@@ -610,6 +622,42 @@ def metadata(spark, sf_dir):
 REGISTRY["run_metadata"] = metadata
 
 
+@query
+def throughput(spark, sf_dir):
+    """Flows a second at the recorded run time of 53 minutes; clouds of 100 against frames of 50."""
+    return rounded(sinks.throughput(fx.flows(spark, sf_dir), 53 * 60.0, K_NEIGHBORS, FRAME_BEFORE + FRAME_AFTER + 1))
+
+
+@query
+def approx_distinct(spark, sf_dir):
+    """Whether the sketches' distinct counts of each feature and class lie within three errors."""
+    flows = prep.original_features(fx.flows(spark, sf_dir))
+    keys = ["feature", "label"]
+    exact = profile.distinct_by_class(flows, RAW_FEATURES, CLASSES, more_than=0).select(*keys, F.col("n_distinct").alias("exact"))
+    sketched = profile.approx_distinct_by_class(profile.distinct_sketches(flows, RAW_FEATURES), more_than=0)
+    gap = F.abs(F.col("n_distinct") - F.col("exact"))
+    return exact.join(sketched, keys).select(*keys, "exact", (gap <= 3 * F.col("error") * F.col("exact")).alias("within"))
+
+
+def _flow_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaled vectors of all flows with their split, as the supervised track has them."""
+    flows = fx.flows(spark, sf_dir)
+    split = prep.stratified_split(flows.select("flow_id", "label")).select("flow_id", "split")
+    return prep.long_points(prep.manifold_vectors(flows, ["flow_id"])).join(split, "flow_id")
+
+
+@query
+def knn_flows(spark, sf_dir):
+    """The 100 nearest flows of every flow, summed up per flow."""
+    found = knn.knn_join(_flow_points(spark, sf_dir), K_NEIGHBORS)
+    return rounded(
+        found.groupBy(*KEYS).agg(
+            F.count(F.lit(1)).alias("n"), F.max("distance").alias("farthest"), F.sum("distance").alias("total")
+        ),
+        4,
+    )
+
+
 # --- models ---------------------------------------------------------------------
 
 CLOSE = 1e-9

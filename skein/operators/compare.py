@@ -72,12 +72,21 @@ def best_model(metrics: DataFrame, by: str = "accuracy") -> DataFrame:
 
 
 def auc_improvement(baseline: DataFrame, enhanced: DataFrame) -> DataFrame:
-    """Per target and for macro / weighted: baseline, enhanced, improvement."""
-    left = baseline.select("target", F.col("auc").alias("baseline_auc"))
+    """Per target and for macro / weighted: baseline, enhanced, improvement.
+
+    Both tables have target, auc and n_pos (the rows of the target); the weights are those of the
+    baseline table. One row per target.
+    """
+    left = baseline.select("target", F.col("auc").alias("baseline_auc"), "n_pos")
     right = enhanced.select("target", F.col("auc").alias("enhanced_auc"))
-    return left.join(right, "target").withColumn(
-        "improvement", F.col("enhanced_auc") - F.col("baseline_auc")
+    each = left.join(right, "target")
+    sides = ("baseline_auc", "enhanced_auc")
+    overall = F.array(
+        F.struct(F.lit("macro").alias("target"), *[F.avg(c).alias(c) for c in sides]),
+        F.struct(F.lit("weighted").alias("target"), *[(F.sum(F.col(c) * F.col("n_pos")) / F.sum("n_pos")).alias(c) for c in sides]),
     )
+    both = each.select("target", *sides).unionByName(each.agg(overall.alias("r")).select(F.inline("r")))
+    return both.withColumn("improvement", F.col("enhanced_auc") - F.col("baseline_auc"))
 
 
 def t_statistic(df: DataFrame, value: str) -> DataFrame:

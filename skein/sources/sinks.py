@@ -78,3 +78,14 @@ def run_metadata(df: DataFrame, params: dict[str, object], seconds: float | None
         F.try_divide(F.col("n_samples").cast("double"), F.lit(seconds).cast("double")).alias("per_second"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("created"),
     )
+
+
+def throughput(df: DataFrame, seconds: float, larger: int, smaller: int) -> DataFrame:
+    """One row: rows, run time, rows a second, and how many times more points the larger of two
+    kinds of neighbourhood has."""
+    return df.agg(F.count(F.lit(1)).alias("n_samples")).select(
+        "n_samples",
+        F.lit(seconds).cast("double").alias("seconds"),
+        F.try_divide(F.col("n_samples").cast("double"), F.lit(seconds).cast("double")).alias("per_second"),
+        F.lit(larger / smaller).alias("size_ratio"),
+    )
