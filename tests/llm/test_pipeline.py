@@ -128,3 +128,14 @@ def test_long_clean_texts_stay(spark, fixture):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, sf_dir).collect()}
     assert 96 in kept and {r[0] for r in rows} - kept == set(range(0, 90, 3))
+
+
+def test_no_dead_tables_stay_behind(spark, fixture):
+    from pathlib import Path
+
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    names = ("stage-", "jaccard-")
+    before = {p.name for p in folder.iterdir() if p.name.startswith(names)}
+    rows = corpus_pipeline.run(spark, fixture[0])
+    left = {p.name for p in folder.iterdir() if p.name.startswith(names)} - before
+    assert len(left) == 1 and left.pop().startswith("stage-best-fit") and rows.count() > 0
