@@ -18,7 +18,7 @@ def test_equals_sql(name, spark, views, sf_dir):
     assert compare(name, spark, views, sf_dir) is None
 
 
-@pytest.mark.parametrize("name", ["h1_bars", "baseline_summary", "topology_features", "run_metadata"])
+@pytest.mark.parametrize("name", ["baseline_summary", "topology_features", "run_metadata"])
 def test_runs_without_sql(name, spark, sf_dir):
     assert name in REGISTRY and name not in ORACLE
     assert REGISTRY[name](spark, sf_dir).count() > 0
