@@ -1,10 +1,11 @@
 """URL filter: host and path rules, and a logistic regression for what no rule covers.
 
 The model sees hashed character n-grams of the host and of the path (marked apart, ends marked)
-and learns from a small labelled URL table: the distinct URLs that a rule judges, at most half of
-``train_rows`` of each verdict, those with the smallest hashes of host and path. Each n-gram that a URL has counts
-once; vectors have length one. Training is full-batch gradient descent in numpy, the same for
-the same table. With labels of one kind alone the method gives that verdict, with none it allows.
+and learns from a small labelled URL table of its own (``url_table``, or one that is given), never
+from the rules or the pages. Each n-gram that a URL has counts once; vectors have length one; kinds
+count by their rows, so that a URL unlike any in the table is as likely unwanted as the table's
+share. Training is full-batch gradient descent in numpy, the same for the same table. With labels
+of one kind alone the method gives that verdict, with none it allows.
 
 Scoring reads whole URLs in Arrow batches. A null URL and one without ``://`` have an empty host
 and path. Repeated rows stay; every row has a verdict.
@@ -21,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import UPPER, col, flat_bytes, free_name, ragged
+from skein.llm.common import UPPER, col, flat_bytes, free_name, ragged, refuse_clashes, share
+from skein.llm.url_table import labelled_urls
 
 #: (verdict, host, path): fixed values.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -31,7 +33,6 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 class UrlModelSettings:
     sizes: tuple[int, ...] = (2, 3, 4, 5)
     buckets: int = 1 << 16
-    train_rows: int = 4096
     steps: int = 300
     rate: float = 4.0
     penalty: float = 1e-4
@@ -104,7 +105,7 @@ def train(table: pa.Table, settings: UrlModelSettings) -> UrlModel:
     grams, counts = hashed_grams(hosts, paths, settings)
     row = np.repeat(np.arange(len(label)), counts)
     value = 1 / np.sqrt(np.maximum(counts, 1))[row]
-    share = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean())) / len(label)
+    share = 1 / len(label)
     for _ in range(settings.steps):
         odds = np.bincount(row, weights[grams] * value, minlength=len(label)) + bias
         miss = (1 / (1 + np.exp(-odds)) - label) * share
@@ -121,26 +122,20 @@ def filter_urls(
     keep: list[str] | None = None,
     rules=RULES,
     settings: UrlModelSettings = UrlModelSettings(),
+    labelled: pa.Table | None = None,
     prefix: str = "",
 ) -> DataFrame:
     """The columns ``keep`` of every page (default: all) with host, path, rule, verdict and
-    block_score (the model's probability, for every row), named with ``prefix``."""
+    block_score (the model's probability, for every row), named with ``prefix``. ``labelled`` (host,
+    path, block) takes the place of the table that comes with the package."""
     keep = pages.columns if keep is None else keep
     host, path, rule, verdict, score = (prefix + n for n in ("host", "path", "rule", "verdict", "block_score"))
+    refuse_clashes(keep, [host, path, rule, verdict, score])
     h, p = url_parts(col(url))
     inner = [free_name(pages, n) for n in ("host_of_row", "path_of_row", "rule_of_row", "verdict_of_row")]
     parts = pages.select(*[col(c) for c in keep], h.alias(inner[0]), p.alias(inner[1]))
     judged = with_rule(parts, *inner, rules=rules)
-    # a URL counts once however many rows have it, and each label has its own half of the rows
-    labelled = judged.where(col(inner[3]).isNotNull()).select(
-        col(inner[0]).alias("host"), col(inner[1]).alias("path"), (col(inner[3]) == "block").cast("int").alias("block")
-    ).distinct()
-    halves = [
-        labelled.where(F.col("block") == kind).orderBy(F.xxhash64("host", "path"), "host", "path").limit(settings.train_rows // 2)
-        for kind in (0, 1)
-    ]
-    table = halves[0].unionByName(halves[1]).toArrow()
-    shared = pages.sparkSession.sparkContext.broadcast(train(table, settings))
+    shared = share(pages.sparkSession, train(labelled_urls() if labelled is None else labelled, settings))
     schema = T.StructType(
         [judged.schema[c] for c in keep]
         + [T.StructField(n, T.StringType()) for n in (host, path, rule, verdict)]
@@ -148,7 +143,7 @@ def filter_urls(
     )
 
     def decide(batches):
-        model = shared.value
+        model = shared()
         for batch in batches:
             *kept, hosts, paths, found, ruled = batch.columns
             odds = model.block_probability(hosts, paths)
