@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import col, flat_bytes, map_texts, split_words
+from skein.llm.common import col, flat_bytes, map_texts, share, split_words
 
 UNKNOWN = "und"
 
@@ -118,9 +118,10 @@ class LanguageModel:
         sizes = counts[order]
         longest = int(sizes[0]) if len(sizes) else 0
         alive = np.searchsorted(-sizes, -np.arange(longest), side="left")  # texts with a word there
-        back = np.zeros((len(numbers), len(self.names)), np.uint8)
+        kind = np.min_scalar_type(len(self.names))  # as wide as the number of languages asks for
+        back = np.zeros((len(numbers), len(self.names)), kind)
         value = np.zeros((len(counts), len(self.names)), np.float32)
-        stay = np.arange(len(self.names), dtype=np.uint8)
+        stay = np.arange(len(self.names), dtype=kind)
         for t in range(longest):
             n = alive[t]
             at = heads[:n] + t
@@ -129,10 +130,10 @@ class LanguageModel:
                 best = now.argmax(1)
                 other = now[np.arange(n), best] - self.settings.switch
                 move = other[:, None] > now
-                back[at] = np.where(move, best[:, None].astype(np.uint8), stay)
+                back[at] = np.where(move, best[:, None].astype(kind), stay)
                 now = np.where(move, other[:, None], now)
             value[:n] = now + scores[numbers[at]]
-        label = np.zeros(len(numbers), np.uint8)
+        label = np.zeros(len(numbers), kind)
         state = value.argmax(1)
         for t in range(longest - 1, -1, -1):
             n = alive[t]
@@ -229,10 +230,10 @@ def identify(
 ) -> DataFrame:
     """The columns ``keep`` of every document (default: all) with lang_pred and score, named with
     ``prefix``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def make():
-        held = shared.value
+        held = shared()
 
         def work(texts: pa.Array) -> list[pa.Array]:
             names, score = held.predict(texts)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import col, flat_bytes, map_texts, ragged, split_words
+from skein.llm.common import col, flat_bytes, map_texts, ragged, share, split_words
 
 _MARK_A, _MARK_B = bytes(range(1, 17)), bytes(range(128, 144))
 _LOW, _HIGH = -8, 12
@@ -284,10 +284,10 @@ def score_toxicity(
 ) -> DataFrame:
     """The columns ``keep`` of every document (default: all) with score and predicted (1 from 0.5
     on), named with ``prefix``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def make():
-        held = shared.value
+        held = shared()
         lengths = Lengths(held.ordinary, held.toxic) if held.constant is None else None
 
         def work(texts: pa.Array) -> list[pa.Array]:
