@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,24 @@ from skein.llm.units import IdEncoder
 MAGIC = b"DACIDS01"
 NULL_ID = np.iinfo(np.int64).min
 BLOCK = 512
-SHARD_BYTES = 16 << 20
-BATCH_BYTES = 8 << 20
+SHARD_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
+#: Names of object stores in Spark's paths and in pyarrow's, fixed values.
+STORES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss", "hdfs": "hdfs", "viewfs": "viewfs"}
+
+
+def open_store(folder: str):
+    """The file system of a folder as Spark names it, and the folder's path there; blanks allowed."""
+    from pyarrow import fs
+
+    scheme, colon, rest = folder.partition(":")
+    if not colon or scheme == "file":
+        local = rest if colon else folder
+        return fs.LocalFileSystem(), "/" + local.lstrip("/") if local.startswith("/") else local
+    if scheme not in STORES:
+        raise ValueError(f"no file system known for {folder}")
+    return fs.FileSystem.from_uri(STORES[scheme] + ":" + quote(rest))
 
 
 def _rank_directory(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,8 +181,6 @@ def write_token_ids(
     spread = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches):
-        from pyarrow import fs
-
         encoder, ids, doc_ids, counts = None, [], [], []
         for batch in batches:
             encoder = encoder or IdEncoder(vocabulary)
@@ -181,7 +195,7 @@ def write_token_ids(
             return
         starts = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
         pieces = pack(np.concatenate(ids), np.concatenate(doc_ids), starts)
-        store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+        store, base = open_store(folder)
         shard = TaskContext.get().partitionId()
         store.create_dir(base, recursive=True)
         name = f"{base}/part-{shard:06d}.dac"
@@ -218,11 +232,9 @@ def read_token_ids(manifest: DataFrame) -> DataFrame:
     shards = manifest.repartitionByRange(max(1, manifest.agg(F.count("*")).first()[0]), "shard")
 
     def read(batches):
-        from pyarrow import fs
-
         for batch in batches:
             for folder, path, first in zip(*(batch.column(c).to_pylist() for c in ("folder", "path", "first_token"))):
-                store, _ = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+                store, _ = open_store(folder)
                 with store.open_input_stream(path) as stream:
                     held = TokenFile(stream.read())
                 crc = [zlib.crc32(held.document(k).astype("<u4").tobytes()) for k in range(int(held.n_docs))]

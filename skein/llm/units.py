@@ -7,6 +7,7 @@ and only the distinct ones are cut further, by the classes of neighbouring chara
 
 from __future__ import annotations
 
+import os
 import sys
 from dataclasses import dataclass
 
@@ -180,6 +181,8 @@ class IdEncoder:
     GROUP = 2000
 
     def __init__(self, vocabulary: str):
+        # a task has one core; the library's threads would each keep memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary)
