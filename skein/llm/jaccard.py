@@ -12,8 +12,11 @@ The product of the document by n-gram incidence matrix with itself is never form
    whole block. Size classes overlap, so that linked sets meet in one class. A set with too many
    empty blocks is cut again with another hash, together with the sets like it; so agreeing on an
    empty block alone never makes a candidate and none is lost.
+   Block keys are not kept: a first reading of the texts finds those that two sets have, as a
+   filter of bounded size, a second one sends those alone.
 3. *Families.* Nodes that agree on a block are tied to the least of them; the components of these
-   ties hold every possible link.
+   ties hold every possible link. A set is left out if other tied sets have fewer of its n-grams
+   between them than a link asks for; families are formed anew from the sets that stay.
 4. *Row blocks.* A family is cut into blocks of at most about ``rows`` nodes, each joined by the
    family's least node. In a block the sparse product is taken row by row: overlaps with all rows
    whose size fits are accumulated over the row's n-grams, and rows that are already connected are
@@ -29,27 +32,37 @@ empty; null ids stand aside when the least id is sought; repeated rows are one n
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm.common import (
-    SLICE_BYTES,
+    KeyFilter,
     byte_slices,
     col,
+    drop_shared,
+    filter_block,
     free_name,
     map_texts,
     mix64,
     ragged,
     shared_table,
+    split_key,
     split_words,
     word_hashes,
 )
+from skein.session import shuffle_partitions
+
+
+#: Bytes of text whose n-grams or block keys a task holds at once.
+SLICE_BYTES = 3 << 20
 
 
 @dataclass(frozen=True)
@@ -160,7 +173,6 @@ _SET = [
     T.StructField("n_shingles", T.LongType()),
     T.StructField("node", T.LongType()),
     T.StructField("check", T.LongType()),
-    T.StructField("blocks", T.ArrayType(T.LongType())),
 ]
 
 
@@ -176,20 +188,108 @@ def node_hashes(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def document_sets(docs: DataFrame, text: str, keep: list[str], settings: JoinSettings) -> DataFrame:
-    """One row per document: n_shingles, node, check and the block keys."""
+    """One row per document: n_shingles, node and check."""
 
     def make():
         def work(texts: pa.Array) -> list[pa.Array]:
             keys, sizes = shingle_sets(texts, settings.n)
             node, check = node_hashes(keys, sizes)
-            blocks, counts = block_keys(keys, sizes, settings)
-            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(blocks))
-            return [pa.array(sizes), pa.array(node), pa.array(check), lists]
+            return [pa.array(sizes), pa.array(node), pa.array(check)]
 
         return work
 
-    return map_texts(docs, text, keep, make, _SET)
+    return map_texts(docs, text, keep, make, _SET, SLICE_BYTES)
+
+
+#: Bytes of text for one hash partition of block keys, and the most bytes of the filter made of them.
+_PART_BYTES, _FILTER_BYTES = 16 << 20, 64 << 20
+#: Keys that the task of a hash partition gathers before it merges them.
+_WAITING = 1 << 21
+
+
+def _two_each(codes: np.ndarray) -> np.ndarray:
+    """Sorted codes (key above, node below, 32 bits each) with at most two nodes of each key."""
+    codes = np.unique(codes)
+    key = codes >> np.uint64(32)
+    return codes[np.concatenate([np.ones(min(2, len(key)), bool), key[2:] != key[:-2]])]
+
+
+def _node_blocks(batches, settings: JoinSettings):
+    """id, node and block keys (with the row of each) of every distinct set of a slice, under the
+    least id that has it there."""
+    for batch in batches:
+        texts = pc.fill_null(batch.column(1), "")
+        for start, n in byte_slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), SLICE_BYTES):
+            keys, sizes = shingle_sets(pa.concat_arrays([texts.slice(start, n)]), settings.n)
+            node, _ = node_hashes(keys, sizes)
+            ids = batch.column(0).slice(start, n)
+            rank = pc.rank(ids, "ascending", null_placement="at_end", tiebreaker="first").to_numpy()
+            order = np.lexsort((rank, node))
+            order = order[sizes[order] > 0]
+            keep = np.sort(order[np.flatnonzero(np.diff(node[order], prepend=~node[order[:1]]) != 0)]) if len(order) else order
+            heads = np.cumsum(sizes) - sizes
+            blocks, counts = block_keys(keys[ragged(heads[keep], sizes[keep])], sizes[keep], settings)
+            yield ids.take(pa.array(keep)), node[keep], blocks.view(np.uint64), np.repeat(np.arange(len(keep)), counts)
+
+
+def _met_twice(rows: DataFrame, read: Callable, size: int):
+    """A broadcast filter of the keys that two different nodes have, and a few others, with the bits
+    that name its blocks. ``read`` turns a task's batches into arrays of keys and their nodes;
+    ``size`` is about their bytes. Tasks send hashes of keys, at most two nodes for a key and batch."""
+    spark = rows.sparkSession
+    top = max(1, (max(shuffle_partitions(spark), -(-size // _PART_BYTES)) - 1).bit_length())
+
+    def send(batches):
+        for keys, node in read(batches):
+            part, low = split_key(mix64(keys), top)
+            codes = (low.astype(np.uint64) << np.uint64(32)) | (node.view(np.uint64) & np.uint64(0xFFFFFFFF))
+            order = np.argsort(part, kind="stable")
+            parts, first = np.unique(part[order], return_index=True)
+            sent = [_two_each(c).tobytes() for c in np.split(codes[order], first[1:])] if len(parts) else []
+            yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array(sent, pa.binary())], names=["part", "codes"])
+
+    def merge(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                mine = held.setdefault(part, [])
+                mine.append(np.frombuffer(blob.as_buffer(), np.uint64).copy())
+                if sum(map(len, mine[1:])) > _WAITING:
+                    held[part] = [_two_each(np.concatenate(mine))]
+        for part, mine in held.items():
+            key = _two_each(np.concatenate(mine)) >> np.uint64(32)
+            block = filter_block(key[1:][key[1:] == key[:-1]], max(8, _FILTER_BYTES >> top))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.binary())], names=["part", "block"])
+
+    sent = rows.mapInArrow(send, "part int, codes binary")
+    made = sent.repartitionById(1 << top, F.col("part")).mapInArrow(merge, "part int, block binary")
+    # at most _FILTER_BYTES, or 8 bytes a partition
+    return spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in made.collect()}), top
+
+
+def _tied_blocks(source: DataFrame, settings: JoinSettings) -> DataFrame:
+    """id, node, block: the block keys of every document that two different sets have, and a few
+    others: the texts are read once for the filter, and again to send what passes it."""
+    texts = source.select("id", "text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shared, top = _met_twice(texts, lambda batches: ((b, node[row]) for _, node, b, row in _node_blocks(batches, settings)), size)
+
+    def pick(batches):
+        wanted = KeyFilter(shared.value, top)
+        for ids, node, blocks, row in _node_blocks(batches, settings):
+            stay = wanted.passes(mix64(blocks))
+            row = row[stay]
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(row)), pa.array(node[row]), pa.array(blocks[stay].view(np.int64))], names=["id", "node", "block"]
+            )
+
+    return texts.mapInArrow(pick, "id long, node long, block long")
+
+
+def _ties(cells: DataFrame) -> DataFrame:
+    """Nodes that agree on a block, each tied to the least of them."""
+    shared = cells.groupBy("block").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most")
+    return cells.join(shared, "block").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -216,6 +316,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if state["ties"] == state["nodes"] and not after.join(after.select(F.col("a").alias("b")), "b", "left_semi").take(1):
             roots = after.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
             return after.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+        drop_shared(current)
         current = after
 
 
@@ -313,15 +414,18 @@ def similar_components(
     )
     nodes = shared_table(nodes.select(safe.alias("node"), "id"), "jaccard-nodes")
 
-    # nodes that agree on a block are tied to the least of them
-    one = full.join(nodes.select("node", F.col("id").alias("first")), "node").where(F.col("id").eqNullSafe(F.col("first")))
-    cells = one.select("node", F.explode("blocks").alias("block"))
-    shared = cells.groupBy("block").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most")
-    ties = cells.join(shared, "block").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    families = components(ties, "jaccard-families")
-    members = _members(source, families, nodes, settings)
-    links = _links(members, families, settings)
+    first = nodes.select("node", F.col("id").alias("first"))
+    cells = _tied_blocks(source, settings).join(first, "node").where(F.col("id").eqNullSafe(F.col("first"))).select("node", "block")
+    cells = shared_table(cells, "jaccard-cells")
+    tied = components(_ties(cells), "jaccard-ties")
+    members = _members(source, tied, nodes, settings)
+    # ties often come from passages alone; without sets that cannot have a link families fall apart
+    families = components(_ties(cells.join(members.select("node"), "node", "left_semi")), "jaccard-families")
+    grouped = members.join(families.select("node", F.col("root").alias("family")), "node")
+    drop_shared(cells, tied)
+    links = _links(grouped, families, settings)
     rooted = components(links, "jaccard-links")
+    drop_shared(members, families)
 
     named = nodes.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = named.groupBy("root").agg(F.min("id").alias("component"))
@@ -339,18 +443,20 @@ def similar_components(
 _SLOTS = 1 << 20
 
 
-def _members(source: DataFrame, families: DataFrame, nodes: DataFrame, settings: JoinSettings) -> DataFrame:
-    """node, family, n_shingles and keys (sorted hashes) of every node of a family, from one
-    document each. A bitmap of fixed size over hashed ids picks texts in the scan, so that only
-    the sets of those that may have a partner are shuffled."""
-    wanted = families.join(nodes, "node").select("node", F.col("root").alias("family"), F.col("id").alias("first"))
+def _members(source: DataFrame, tied: DataFrame, nodes: DataFrame, settings: JoinSettings) -> DataFrame:
+    """node, n_shingles and keys (sorted hashes) of every node with a tie that may have a link, from
+    one document each. A linked set shares ``percent`` of its n-grams at least, so a set stays only
+    if the others have that many of its n-grams between them. A bitmap of fixed size over hashed ids
+    picks texts in the scan, so that only sets that may have a partner are shuffled."""
+    wanted = tied.join(nodes, "node").select("node", F.col("id").alias("first"))
 
     def slot(c):
         return F.pmod(F.xxhash64(c), F.lit(_SLOTS)).cast("int")
 
     bitmap = np.zeros(_SLOTS, bool)
     bitmap[wanted.select(slot("first").alias("s")).distinct().toArrow()["s"].to_numpy()] = True  # at most _SLOTS rows
-    shared = source.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    picked = source.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    texts = source.select("id", slot("id").alias("slot"), "text")
     fields = [
         T.StructField("id", T.LongType()),
         T.StructField("node", T.LongType()),
@@ -359,24 +465,36 @@ def _members(source: DataFrame, families: DataFrame, nodes: DataFrame, settings:
     ]
     schema = T.StructType(fields)
 
-    def read(batches):
-        chosen = np.unpackbits(shared.value).astype(bool)
+    def sets(batches):
+        chosen = np.unpackbits(picked.value).astype(bool)
         for batch in batches:
             batch = batch.filter(pa.array(chosen[batch.column(1).to_numpy(zero_copy_only=False)]))
             texts = pc.fill_null(batch.column(2), "")
             for start, n in byte_slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), SLICE_BYTES):
                 keys, sizes = shingle_sets(pa.concat_arrays([texts.slice(start, n)]), settings.n)
-                ends = np.concatenate([[0], np.cumsum(sizes)]) * 8
-                blob = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), n, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(keys.tobytes())]
-                )
-                columns = [batch.column(0).slice(start, n), pa.array(node_hashes(keys, sizes)[0]), pa.array(sizes)]
-                yield pa.RecordBatch.from_arrays([*columns, blob.cast(pa.binary())], names=schema.names)
+                yield batch.column(0).slice(start, n), node_hashes(keys, sizes)[0], keys, sizes
 
-    found = source.select("id", slot("id").alias("slot"), "text").mapInArrow(read, schema)
-    same = (found["node"] == wanted["node"]) & found["id"].eqNullSafe(wanted["first"])
-    members = found.join(wanted, same).select(found["node"], "family", "n_shingles", "keys")
-    return shared_table(members, "jaccard-members")
+    # an n-gram and its node take about as many bytes as a word
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shared, top = _met_twice(texts, lambda batches: ((keys, np.repeat(node, n)) for _, node, keys, n in sets(batches)), size)
+
+    def read(batches):
+        met = KeyFilter(shared.value, top)
+        for ids, node, keys, sizes in sets(batches):
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            stay = 100 * np.bincount(row, met.passes(mix64(keys)), minlength=len(sizes)) >= settings.percent * sizes
+            keys, sizes, stays = keys[stay[row]], sizes[stay], pa.array(stay)
+            ends = np.concatenate([[0], np.cumsum(sizes)]) * 8
+            blob = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(keys.tobytes())]
+            )
+            columns = [ids.filter(stays), pa.array(node[stay]), pa.array(sizes)]
+            yield pa.RecordBatch.from_arrays([*columns, blob.cast(pa.binary())], names=schema.names)
+
+    found = texts.mapInArrow(read, schema)
+    # repeated rows of an id with one set are one member
+    members = found.join(wanted, "node").where(F.col("id").eqNullSafe(F.col("first"))).select("node", "n_shingles", "keys")
+    return shared_table(members.dropDuplicates(["node"]), "jaccard-members")
 
 
 def _links(members: DataFrame, families: DataFrame, settings: JoinSettings) -> DataFrame:
@@ -423,6 +541,10 @@ def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", set
     keyed = docs.withColumn(name, col(doc_id).cast("long"))
     kept = keyed.join(copies, keyed[name] == copies["id"], "left_anti")
     if again.take(1):
-        once = kept.join(again, kept[name] == again["id"], "left_semi").dropDuplicates([name])
+        # the first by text, then by the other columns, however often a task runs
+        order = W.partitionBy(name).orderBy(col(text), *[col(c).cast("string") for c in docs.columns if c != text])
+        place = free_name(kept, "place")
+        once = kept.join(again, kept[name] == again["id"], "left_semi").withColumn(place, F.row_number().over(order))
+        once = once.where(F.col(place) == 1).drop(place)
         kept = kept.join(again, kept[name] == again["id"], "left_anti").unionByName(once)
     return kept.drop(name)
