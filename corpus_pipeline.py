@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import decontaminate, jaccard, packing, repetition, toxicity
-from skein.llm.common import col, free_name, id_bucket, shared_table
+from skein.llm.common import col, drop_shared, free_name, id_bucket, shared_table, short_lived
 
 #: Near copies share 80 % of their 5-word shingles; the defaults of op8_jaccard_join hold for that query alone.
 NEAR_COPIES = jaccard.JoinSettings(n=5, percent=80)
@@ -72,8 +72,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read again."""
-    docs = _read(spark, sf_dir, "documents")
+    """All stages over documents; each result is written and read again. What a stage wrote for
+    itself goes when its result is there, and so does the result before it."""
+    docs, before = _read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = shared_table(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with short_lived():
+            docs = shared_table(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"), stays=True)
+        if before is not None:
+            drop_shared(before)
+        before = docs
     return docs
