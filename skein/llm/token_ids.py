@@ -39,7 +39,7 @@ MAGIC = b"DACIDS01"
 NULL_ID = np.iinfo(np.int64).min
 BLOCK = 512
 SHARD_BYTES = 8 << 20
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 5 << 20
 
 #: Names of object stores in Spark's paths and in pyarrow's, fixed values.
 STORES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss", "hdfs": "hdfs", "viewfs": "viewfs"}
