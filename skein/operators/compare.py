@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.columns import dimension_of, manifold_of, provenance, strip_suffix
 from skein.session import all_rows
 
+#: Decimals of an importance that decide its rank: below them lies the noise of summation order.
+RANK_DIGITS = 9
+
 METRICS = ["accuracy", "f1", "auc"]
 # Spellings of the metric columns in stored metric tables.
 METRIC_NAMES = {
@@ -140,18 +143,19 @@ def t_test(df: DataFrame, value: str, alpha: float = 0.05) -> dict[str, object]:
     return {"n": row["n"], "t": row["t"], "p": p, "significant": p is not None and p < alpha}
 
 
+def _by_importance() -> list[Column]:
+    """Features that are multiples of each other are level at this precision and go by name."""
+    return [F.desc(F.round("importance", RANK_DIGITS)), F.col("feature")]
+
+
 def top_features(importance: DataFrame, k: int = 20) -> DataFrame:
-    """The k most important features with their provenance."""
-    return (
-        importance.withColumn("type", provenance(F.col("feature")))
-        .orderBy(F.desc("importance"), "feature")
-        .limit(k)
-    )
+    """The k most important features with their provenance; level ones by name."""
+    return importance.withColumn("type", provenance(F.col("feature"))).orderBy(*_by_importance()).limit(k)
 
 
 def importance_groups(importance: DataFrame, top: int = 20) -> DataFrame:
     """Sum, share in % and top-k members per type, manifold and homology dimension."""
-    best = importance.orderBy(F.desc("importance"), "feature").limit(top).select("feature", F.lit(1).alias("t"))
+    best = importance.orderBy(*_by_importance()).limit(top).select("feature", F.lit(1).alias("t"))
     f = F.col("feature")
     facets = F.array(
         F.struct(F.lit("type").alias("facet"), provenance(f).alias("name")),

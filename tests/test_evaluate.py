@@ -217,3 +217,10 @@ def test_thresholds_that_differ_by_summation_noise_are_one(spark):
     rows = spark.createDataFrame([(0.3, 1), (0.1 + 0.2, 0), (1.0, 1), (0.0, 0)], "score double, t int")
     found = {r["threshold"]: (r["fpr"], r["tpr"]) for r in roc.roc_points(rows, F.col("score"), {"t": F.col("t")}).collect()}
     assert found == {float("inf"): (0.0, 0.0), 1.0: (0.0, 0.5), 0.3: (0.5, 1.0), 0.0: (1.0, 1.0)}
+
+
+def test_level_importances_at_the_cut_go_by_name(spark):
+    rows = spark.createDataFrame([("a", 0.1 + 0.2), ("C2_H0_b", 0.3), ("z", 0.1)], "feature string, importance double")
+    assert [r["feature"] for r in compare.top_features(rows, 1).collect()] == ["C2_H0_b"]
+    groups = compare.importance_groups(rows, 1).where("facet = 'type'").collect()
+    assert {r["name"]: r["n_top"] for r in groups} == {"original": 0, "topology": 1}
