@@ -214,3 +214,24 @@ def test_quantiles_with_a_hot_value(spark):
     values = np.array([r[0] for r in rows.collect()])
     row = exact_quantiles(rows, ["x"], [0.0, 0.25, 0.5, 0.9, 1.0]).first()
     assert [row[f"q{i}"] for i in range(5)] == pytest.approx(list(np.quantile(values, [0.0, 0.25, 0.5, 0.9, 1.0])))
+
+
+def test_knn_candidates_are_not_shuffled(spark):
+    """In 15 dimensions every pack meets every other: rows must not be sent once per pack met."""
+    points = spark.range(3000).select(
+        F.col("id").alias("flow_id"), F.lit("a").alias("split"), F.lit("m").alias("manifold"), F.array(*[F.randn(i) for i in range(15)]).alias("vec")
+    )
+    plan = knn.knn_join(settle(points), 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_rough_distances_lose_no_neighbour_far_from_the_origin(spark, tiny_packs):
+    rng = np.random.default_rng(5)
+    rows = [Row(flow_id=i, split="a", manifold="m", vec=(1e6 + rng.normal(size=3) * 1e-3).tolist()) for i in range(300)]
+    check_knn(spark.createDataFrame(rows), 5)
+
+
+def test_knn_of_text_ids(spark, tiny_packs):
+    rng = np.random.default_rng(6)
+    rows = [Row(flow_id=f"f{i % 7}é{i}", split="a", manifold="m", vec=[float(x) for x in rng.integers(0, 3, 2)]) for i in range(200)]
+    check_knn(spark.createDataFrame(rows), 5)
