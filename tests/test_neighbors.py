@@ -235,3 +235,10 @@ def test_knn_of_text_ids(spark, tiny_packs):
     rng = np.random.default_rng(6)
     rows = [Row(flow_id=f"f{i % 7}é{i}", split="a", manifold="m", vec=[float(x) for x in rng.integers(0, 3, 2)]) for i in range(200)]
     check_knn(spark.createDataFrame(rows), 5)
+
+
+def test_components_alone_are_those_of_the_whole_barcode():
+    clouds = np.random.default_rng(8).normal(size=(20, 9, 2))
+    alone, whole = barcodes(clouds, loops=False), barcodes(clouds)
+    assert any((w[:, 0] == 1).any() for w in whole)
+    assert all((a == w[w[:, 0] == 0]).all() for a, w in zip(alone, whole))
