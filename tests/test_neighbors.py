@@ -242,3 +242,11 @@ def test_components_alone_are_those_of_the_whole_barcode():
     alone, whole = barcodes(clouds, loops=False), barcodes(clouds)
     assert any((w[:, 0] == 1).any() for w in whole)
     assert all((a == w[w[:, 0] == 0]).all() for a, w in zip(alone, whole))
+
+
+def test_diagram_summary_computes_barcodes_once(spark):
+    hoods = spark.createDataFrame([("a", "m", 1, [[0.0], [1.0]])], "split string, manifold string, flow_id long, cloud array<array<double>>")
+    found = features.diagram_summary(topology.cloud_bars(hoods, ["split", "manifold", "flow_id"]))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rows = {r["dim"]: (r["n_bars"], r["mean_bars"], r["mean_life"], r["max_life"]) for r in found.collect()}
+    assert rows == {0: (2, 2.0, 3.0, 5.0), 1: (0, 0.0, 0.0, 0.0), 2: (0, 0.0, 0.0, 0.0)}
