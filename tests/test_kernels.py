@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from skein.functions import barcode
 from skein.functions.barcode import barcodes, component_bars, distance_matrices
 from skein.functions.kdtree import box_distance, build_tree, find_cells
 from skein.functions.matching import wasserstein2
@@ -81,6 +82,38 @@ def test_components_match_tree(n):
     assert len(deaths) == n and deaths.max() == 5.0
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_many_clouds_side_by_side_equal_each_alone(seed):
+    rng = np.random.default_rng(seed)
+    points = rng.normal(size=(300, rng.integers(4, 30), rng.integers(2, 5))) * rng.choice([0.5, 1.5, 4.0])
+    if seed % 3 == 0:
+        points = np.round(points)
+    dist = distance_matrices(points)
+    together, each = barcode.loop_bars(dist), barcode._loop_bars_each(dist, 5.0)
+    assert len(together) == 300 and all(np.array_equal(a, b) for a, b in zip(together, each))
+
+
+def test_more_open_loops_than_bits():
+    """Sixteen loops open at once: the clouds beyond a word's bits are told, and done otherwise."""
+    corners = np.array([(0, 0), (0, 1), (1, 1), (1, 0)], dtype=float)
+    cloud = np.concatenate([corners + (20 * i, 0) for i in range(16)])
+    many = np.repeat(cloud[None], 300, axis=0)
+    many[::2] += np.random.default_rng(0).normal(scale=1e-3, size=many[::2].shape)
+    dist = distance_matrices(many)
+    assert len(barcode._side_by_side(dist, 5.0, np.uint16)[1]) == 300
+    assert len(barcode._side_by_side(dist, 5.0, np.uint32)[1]) == 0
+    assert [len(x) for x in barcode.loop_bars(dist)] == [16] * 300
+
+
+def test_frames_share_their_distances():
+    cloud = np.random.default_rng(1).normal(size=(40, 3))
+    starts = np.array([0, 3, 4, 30])
+    frames = barcode.frame_distances(cloud, starts, 10)
+    assert np.array_equal(frames, distance_matrices(np.stack([cloud[i : i + 10] for i in starts])))
+    with pytest.raises(ValueError):
+        barcode.frame_distances(np.full((20, 2), np.nan), np.array([0]), 10)
+
+
 def matching_by_permutation(x, y):
     left, right = [*x, *[None] * len(y)], [*y, *[None] * len(x)]
 
