@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skein.functions import barcode
+from skein.functions import barcode, matching
 from skein.functions.barcode import barcodes, component_bars, distance_matrices
 from skein.functions.kdtree import box_distance, build_tree, find_cells
 from skein.functions.matching import wasserstein2
@@ -188,3 +188,21 @@ def test_tree_covers_space():
     assert len(set(cells[200:])) == 1
     inside = box_distance(sample, sample.min(axis=0)[None], sample.max(axis=0)[None])
     assert (inside == 0).all()
+
+
+@pytest.mark.parametrize("k", [(1,), (2, 5), (32, 96)])
+def test_few_candidates_give_the_distance_over_all(k, monkeypatch):
+    """Crowded rows need more than their first candidates: the proof must notice."""
+    monkeypatch.setattr(matching, "CANDIDATES", k)
+    rng = np.random.default_rng(7)
+    births = np.where(rng.random(120) < 0.5, 0.0, rng.random(120))
+    target = np.stack([births, births + rng.random(120)], axis=1)
+    many = []
+    for n in (0, 1, 3, 12, 40, 130):
+        start = np.where(rng.random(n) < 0.7, 0.0, rng.random(n))
+        many.append(np.stack([start, start + np.round(0.9 + rng.random(n) / 5, 2)], axis=1))
+    got = matching.wasserstein2_all(many, target)
+    for x, found in zip(many, got):
+        part, *problem = matching._savings(x, target)
+        assert found == pytest.approx(math.sqrt(max(part + matching._assign_all([tuple(problem)])[0][0], 0.0)), abs=1e-9)
+    assert not matching._with_few([many[4]], target, 1)[1][0]
