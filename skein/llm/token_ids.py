@@ -32,14 +32,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import byte_slices, col, shared_path, shared_table
-from skein.llm.units import IdEncoder
+from skein.llm.common import byte_slices, col, share, shared_path, shared_table
+from skein.llm.units import IdEncoder, id_tables
 
 MAGIC = b"DACIDS01"
 NULL_ID = np.iinfo(np.int64).min
 BLOCK = 512
-SHARD_BYTES = 8 << 20
-BATCH_BYTES = 5 << 20
+SHARD_BYTES = 12 << 20
+BATCH_BYTES = 3 << 20
 
 #: Names of object stores in Spark's paths and in pyarrow's, fixed values.
 STORES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss", "hdfs": "hdfs", "viewfs": "viewfs"}
@@ -179,11 +179,12 @@ def write_token_ids(
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     spread = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    tables = share(spark, id_tables(vocabulary))
 
     def write(batches):
         encoder, ids, doc_ids, counts = None, [], [], []
         for batch in batches:
-            encoder = encoder or IdEncoder(vocabulary)
+            encoder = encoder or IdEncoder(vocabulary, tables(), remember=True)
             sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
             for start, n in byte_slices(sizes, BATCH_BYTES):
                 part = batch.slice(start, n)

@@ -141,10 +141,10 @@ class Pretokens:
 
 
 class Splitter:
-    """Made once in a task."""
+    """Made once in a task, with the character classes of the driver if it has sent them."""
 
-    def __init__(self, special: list[str]):
-        self.classes, self.special = character_classes(), special
+    def __init__(self, special: list[str], classes: np.ndarray | None = None):
+        self.classes, self.special = character_classes() if classes is None else classes, special
 
     def split(self, texts: pa.Array) -> Pretokens:
         numbers, counts, units = cut_units(texts)
@@ -174,30 +174,45 @@ class Splitter:
         return pieces, np.bincount(owner, minlength=len(texts))
 
 
+def id_tables(vocabulary: str) -> tuple[list[tuple[str, int]], np.ndarray, np.ndarray]:
+    """What an ``IdEncoder`` works out from its vocabulary: special tokens, bytes of each token and
+    character classes. The driver makes them once and sends them to the tasks."""
+    from tokenizers import Tokenizer
+
+    return _id_tables(Tokenizer.from_file(vocabulary))
+
+
+def _id_tables(library) -> tuple[list[tuple[str, int]], np.ndarray, np.ndarray]:
+    added = library.get_added_tokens_decoder()
+    if len(added) > 1:
+        raise ValueError("more than one special token")
+    special = [(t.content, k) for k, t in added.items()]
+    # byte-level vocabularies write each byte as one letter
+    by_id = sorted((k, len(token)) for token, k in library.get_vocab(False).items())
+    width = np.zeros(by_id[-1][0] + 1, np.int64)
+    width[[k for k, _ in by_id]] = [n for _, n in by_id]
+    return special, width, character_classes()
+
+
 class IdEncoder:
     """Ids of whole texts as the tokenizers library gives them, each distinct pretoken encoded once."""
 
     #: Pretokens that the library gets in one string.
     GROUP = 2000
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, tables: tuple | None = None, remember: bool = False):
+        """With ``remember``, pretokens of earlier calls are not encoded again: for a bounded run of texts."""
         # a task has one core; the library's threads would each keep memory of their own
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary)
-        added = self.library.get_added_tokens_decoder()
-        if len(added) > 1:
-            raise ValueError("more than one special token")
-        self.special = [(t.content, k) for k, t in added.items()]
-        self.splitter = Splitter([content for content, _ in self.special])
+        self.special, self.width, classes = tables or _id_tables(self.library)
+        self.splitter = Splitter([content for content, _ in self.special], classes)
         # first bytes of characters among which there is no white space
         self.visible = np.ones(256, bool)
         self.visible[[*range(0x21), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
-        # byte-level vocabularies write each byte as one letter
-        by_id = sorted((k, len(token)) for token, k in self.library.get_vocab(False).items())
-        self.width = np.zeros(by_id[-1][0] + 1, np.int64)
-        self.width[[k for k, _ in by_id]] = [n for _, n in by_id]
+        self.remember, self.known = remember, None
 
     def _pretoken_ids(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pretokens one after another, and where each one's start.
@@ -230,12 +245,27 @@ class IdEncoder:
         start[order], length[order] = behind - lengths, lengths
         return ids, np.stack([start, length])
 
+    def _known_ids(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_pretoken_ids``, for values of which some may have been met before."""
+        if not self.remember:
+            return self._pretoken_ids(values)
+        if self.known is None:
+            self.known, self.pool, self.spans = values, *self._pretoken_ids(values)
+            return self.pool, self.spans
+        new = values.filter(pc.invert(pc.is_in(values, value_set=self.known)))
+        if len(new):
+            pool, spans = self._pretoken_ids(new)
+            spans[0] += len(self.pool)
+            self.pool, self.spans = np.concatenate([self.pool, pool]), np.concatenate([self.spans, spans], axis=1)
+            self.known = pa.concat_arrays([self.known, new])
+        return self.pool, self.spans[:, _longs(pc.index_in(values, value_set=self.known))]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of ids of each text."""
         pieces, per = self.splitter.cut_special(texts)
         found = self.splitter.split(pieces)
         if len(found.values):
-            pool, (start, length) = self._pretoken_ids(found.values)
+            pool, (start, length) = self._known_ids(found.values)
         else:
             pool, start, length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         # the ids of each unit in a row, then those of each text

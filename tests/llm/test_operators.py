@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from skein.llm import decontaminate, jaccard, language, lattice, packing, repetition, token_ids, toxicity, url_filter
 from skein.llm.token_counts import TokenCounter, count_tokens
-from skein.llm.units import IdEncoder
+from skein.llm.units import IdEncoder, id_tables
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,6 +74,18 @@ def test_token_counts_and_ids_equal_the_library():
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_remembered_pretokens_give_the_same_ids_and_are_encoded_once(monkeypatch):
+    texts = [t for k in range(12) for t in (prose(k, 40), f"it's  new{k}\n\n <|endoftext|> naïve 中文 {k}")]
+    whole = IdEncoder(VOCABULARY).encode(pa.array(texts))
+    sent = []
+    plain = IdEncoder._pretoken_ids
+    monkeypatch.setattr(IdEncoder, "_pretoken_ids", lambda self, values: sent.extend(values.to_pylist()) or plain(self, values))
+    encoder = IdEncoder(VOCABULARY, id_tables(VOCABULARY), remember=True)
+    parts = [encoder.encode(pa.array(texts[i : i + 5])) for i in range(0, len(texts), 5)]
+    assert all(np.array_equal(np.concatenate(x), y) for x, y in zip(zip(*parts), whole))
+    assert len(sent) == len(set(sent)) > 50
+
+
 def test_token_counts_query(docs, rows, empty):
     library = Tokenizer.from_file(VOCABULARY)
     got = count_tokens(docs, VOCABULARY, keep=["doc_id", "score"], limit=100).collect()
