@@ -206,3 +206,16 @@ def test_few_candidates_give_the_distance_over_all(k, monkeypatch):
         part, *problem = matching._savings(x, target)
         assert found == pytest.approx(math.sqrt(max(part + matching._assign_all([tuple(problem)])[0][0], 0.0)), abs=1e-9)
     assert not matching._with_few([many[4]], target, 1)[1][0]
+
+
+def test_batches_begin_with_more_candidates_once_few_do_not_do(monkeypatch):
+    monkeypatch.setattr(matching, "BATCH", 4)
+    monkeypatch.setattr(matching, "CANDIDATES", (1, 50))
+    tried, plain = [], matching._with_few
+    monkeypatch.setattr(matching, "_with_few", lambda x, y, k: tried.append(k) or plain(x, y, k))
+    crowded = [np.stack([np.zeros(8), np.full(8, 1.0 + i / 99)], axis=1) for i in range(12)]
+    target = np.stack([np.zeros(60), np.linspace(0.1, 1.2, 60)], axis=1)
+    got = matching.wasserstein2_all(crowded, target)
+    assert tried == [1, 50, 50, 50]
+    monkeypatch.setattr(matching, "CANDIDATES", ())
+    assert np.allclose(got, matching.wasserstein2_all(crowded, target), atol=1e-9)
