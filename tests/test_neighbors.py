@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contract import fixtures as fx
+from contract import queries
 from skein.functions.barcode import barcodes
 from skein.operators import distance, features, knn, neighbors, prep, topology
 from skein.operators.ranks import dense_position, exact_quantiles, hash_rank
@@ -78,6 +79,51 @@ def test_knn_on_flow_columns_of_5_15_and_2(spark, sf_dir, tiny_packs):
     assert counts["Physical"]["per_row"] < 250 and all(r["per_row"] <= 700 for r in counts.values())
 
 
+def test_clouds_are_the_neighbourhoods_of_the_join(spark, sf_dir, tiny_packs):
+    points = settle(prep.scale_vectors(prep.long_points(fx.wide_points(spark, sf_dir))).select("flow_id", "manifold", "split", "vec"))
+    want = {(r["split"], r["manifold"], r["flow_id"]): r["cloud"] for r in neighbors.neighborhoods(knn.knn_join(points, 6)).collect()}
+    got = {(r["split"], r["manifold"], r["flow_id"]): r["cloud"] for r in knn.knn_clouds(points, 6).collect()}
+    assert got == want and len(got) == 1500
+    few = spark.createDataFrame([(3,), (250,), (250,), (499,)], "flow_id long")
+    some = {(r["split"], r["manifold"], r["flow_id"]): r["cloud"] for r in knn.knn_clouds(points, 6, only=few).collect()}
+    assert some == {key: cloud for key, cloud in want.items() if key[2] in (3, 250, 499)} and len(some) == 9
+    none = knn.knn_clouds(points, 6, only=few.where("flow_id < 0"))
+    assert none.isEmpty()
+
+
+def test_example_bars_search_for_the_chosen_rows_alone(spark, sf_dir, monkeypatch):
+    seen = []
+    searched = knn._Join.query_packs
+
+    def counted(self, placed):
+        packs = searched(self, placed)
+        seen.append(sum(len(r["q_ids"]) for r in packs.select("q_ids").collect()))
+        return packs
+
+    monkeypatch.setattr(knn._Join, "query_packs", counted)
+    assert queries.example_bars(spark, sf_dir).count() > 0
+    assert seen == [9]  # three rows, three manifolds
+
+
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (1e-8, 0.0), (1e-8, 5.0), (1e18, 0.0), (1e-22, 0.0)])
+def test_rough_comparison_loses_no_neighbour(scale, shift):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(701, 15)) * rng.choice([1.0, 1e-3], size=(701, 1)) * scale + shift
+    x[100:140] = x[100]
+    ids, k = np.arange(701), 9
+    q = x[50:250]
+    best = knn._Best(ids[50:250], np.ones(200, int), q.ravel(), knn._kth_bound(q, q, k), k)
+    best.bound[:20] = np.inf
+    for at in range(0, 701, 133):
+        part = x[at : at + 133]
+        best.meet(ids[at : at + 133], part.ravel(), part.min(axis=0), part.max(axis=0))
+    best.settle()
+    who, far, found, _ = best.parts[0]
+    exact = np.sqrt(sum((q[:, None, j] - x[None, :, j]) ** 2 for j in range(15)))
+    order = np.array([np.lexsort((ids, row))[:k] for row in exact])
+    assert np.array_equal(found.reshape(200, k), order) and np.array_equal(far.reshape(200, k), np.take_along_axis(exact, order, 1))
+
+
 def test_cells_grow_with_the_rows(spark, monkeypatch):
     monkeypatch.setattr(knn, "PACK", 2)
     points = spark.range(40_000).select(
