@@ -1,5 +1,7 @@
 """Neighbourhood operators against plain windows and brute force, also on skewed data."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import Row
@@ -214,6 +216,25 @@ def test_rips_pieces(spark):
     assert triples[0]["value"] == pytest.approx(2**0.5)
 
 
+def test_rips_pieces_of_mixed_clouds(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "PIECE_CELLS", 130)
+    rng = np.random.default_rng(11)
+    clouds = [rng.normal(size=(n, d)).tolist() for n, d in [(1, 2), (2, 2), (7, 2), (7, 5), (12, 2)] * 9] + [[], None]
+    hoods = spark.createDataFrame(list(enumerate(clouds)), "flow_id long, cloud array<array<double>>").coalesce(1)
+    edges, triples = {}, {}
+    for key, cloud in enumerate(clouds):
+        p = np.array(cloud or [])
+        dist = np.array([[np.sqrt(((a - b) ** 2).sum()) for b in p] for a in p])
+        for i, j in itertools.combinations(range(len(p)), 2):
+            edges[key, i, j] = dist[i, j]
+        for i, j, m in itertools.combinations(range(len(p)), 3):
+            triples[key, i, j, m] = max(dist[i, j], dist[i, m], dist[j, m])
+    for found, want in ((neighbors.rips_edges(hoods, ["flow_id"], 1.5), edges), (neighbors.rips_triangles(hoods, ["flow_id"], 1.5), triples)):
+        got = {tuple(r)[:-1]: r[-1] for r in found.collect()}
+        want = {key: x for key, x in want.items() if x <= 1.5}
+        assert set(got) == set(want) and len(got) > 100 and all(got[key] == pytest.approx(x) for key, x in want.items())
+
+
 def test_bar_features_against_numpy(spark):
     bars = [(0, 0.0, 1.0), (0, 0.0, 2.5), (0, 0.0, float("inf")), (1, 1.0, 1.5), (1, 2.0, 2.0)]
     rows = [(1, "C2", bars)]
