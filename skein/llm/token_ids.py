@@ -34,12 +34,16 @@ from pyspark.sql import types as T
 
 from skein.llm.common import byte_slices, col, share, shared_path, shared_table
 from skein.llm.units import IdEncoder, id_tables
+from skein.schema import SEED
 
 MAGIC = b"DACIDS01"
 NULL_ID = np.iinfo(np.int64).min
 BLOCK = 512
 SHARD_BYTES = 12 << 20
 BATCH_BYTES = 3 << 20
+#: Text from which the driver takes common pretokens, about these bytes in all and at most these
+#: characters of a document, and their number.
+COMMON_BYTES, COMMON_CHARS, COMMON = 10 << 20, 4096, 150_000
 
 #: Names of object stores in Spark's paths and in pyarrow's, fixed values.
 STORES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss", "hdfs": "hdfs", "viewfs": "viewfs"}
@@ -179,12 +183,18 @@ def write_token_ids(
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     spread = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    tables = share(spark, id_tables(vocabulary))
+    tables = id_tables(vocabulary)
+    # some texts tell which pretokens are worth encoding once for all tasks; others are encoded where they occur
+    some = rows.sample(min(1.0, COMMON_BYTES / max(1, total)), SEED).select(F.substring("text", 1, COMMON_CHARS).alias("text")).toArrow()
+    common = IdEncoder(vocabulary, tables).common_pretokens(pa.concat_arrays(some.column(0).chunks or [pa.array([], pa.string())]), COMMON)
+    tables = share(spark, (tables, common))
 
     def write(batches):
         encoder, ids, doc_ids, counts = None, [], [], []
         for batch in batches:
-            encoder = encoder or IdEncoder(vocabulary, tables(), remember=True)
+            if encoder is None:
+                made, common = tables()
+                encoder = IdEncoder(vocabulary, made, True, common)
             sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
             for start, n in byte_slices(sizes, BATCH_BYTES):
                 part = batch.slice(start, n)

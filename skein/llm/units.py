@@ -200,8 +200,9 @@ class IdEncoder:
     #: Pretokens that the library gets in one string.
     GROUP = 2000
 
-    def __init__(self, vocabulary: str, tables: tuple | None = None, remember: bool = False):
-        """With ``remember``, pretokens of earlier calls are not encoded again: for a bounded run of texts."""
+    def __init__(self, vocabulary: str, tables: tuple | None = None, remember: bool = False, known: tuple | None = None):
+        """With ``remember``, pretokens of earlier calls are not encoded again: for a bounded run of
+        texts. ``known`` are such pretokens to begin with, from ``common_pretokens``."""
         # a task has one core; the library's threads would each keep memory of their own
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -213,6 +214,8 @@ class IdEncoder:
         self.visible = np.ones(256, bool)
         self.visible[[*range(0x21), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
         self.remember, self.known = remember, None
+        if known is not None:
+            self.known, self.pool, self.spans = known
 
     def _pretoken_ids(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pretokens one after another, and where each one's start.
@@ -252,13 +255,29 @@ class IdEncoder:
         if self.known is None:
             self.known, self.pool, self.spans = values, *self._pretoken_ids(values)
             return self.pool, self.spans
-        new = values.filter(pc.invert(pc.is_in(values, value_set=self.known)))
-        if len(new):
+        place = pc.index_in(values, value_set=self.known)
+        fresh = _flags(place.is_null())
+        place = _longs(pc.fill_null(place, 0))
+        if fresh.any():
+            new = values.filter(pa.array(fresh))
             pool, spans = self._pretoken_ids(new)
             spans[0] += len(self.pool)
+            place[fresh] = len(self.known) + np.arange(len(new))
             self.pool, self.spans = np.concatenate([self.pool, pool]), np.concatenate([self.spans, spans], axis=1)
             self.known = pa.concat_arrays([self.known, new])
-        return self.pool, self.spans[:, _longs(pc.index_in(values, value_set=self.known))]
+        return self.pool, self.spans[:, place]
+
+    def common_pretokens(self, texts: pa.Array, most: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The commonest pretokens of the texts, at most ``most``, with their ids: what other encoders
+        may know from the start. It saves time and changes no id."""
+        found = self.splitter.split(self.splitter.cut_special(texts)[0])
+        times = np.repeat(np.bincount(found.numbers, minlength=len(found.part_counts)), found.part_counts)
+        count = np.bincount(found.parts, times, minlength=len(found.values))
+        kept = np.argsort(-count, kind="stable")[:most]
+        values = found.values.take(pa.array(np.sort(kept[count[kept] > 0])))
+        if not len(values):
+            return values, np.zeros(0, np.uint32), np.zeros((2, 0), np.int64)
+        return values, *self._pretoken_ids(values)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of ids of each text."""

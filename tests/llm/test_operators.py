@@ -86,6 +86,25 @@ def test_remembered_pretokens_give_the_same_ids_and_are_encoded_once(monkeypatch
     assert len(sent) == len(set(sent)) > 50
 
 
+def test_common_pretokens_are_not_encoded_again(monkeypatch):
+    texts = [t for k in range(12) for t in (prose(k, 40), f"it's  new{k}\n\n <|endoftext|> naïve 中文 {k}")]
+    whole = IdEncoder(VOCABULARY).encode(pa.array(texts))
+    tables = id_tables(VOCABULARY)
+    common = IdEncoder(VOCABULARY, tables).common_pretokens(pa.array(texts[:10]), 40)
+    assert len(common[0]) == 40
+    sent = []
+    plain = IdEncoder._pretoken_ids
+    monkeypatch.setattr(IdEncoder, "_pretoken_ids", lambda self, values: sent.extend(values.to_pylist()) or plain(self, values))
+    encoder = IdEncoder(VOCABULARY, tables, True, common)
+    parts = [encoder.encode(pa.array(texts[i : i + 5])) for i in range(0, len(texts), 5)]
+    assert all(np.array_equal(np.concatenate(x), y) for x, y in zip(zip(*parts), whole))
+    assert sent and not set(sent) & set(common[0].to_pylist())
+    for none in ([], [""]):
+        empty = IdEncoder(VOCABULARY, tables).common_pretokens(pa.array(none, pa.string()), 40)
+        ids, counts = IdEncoder(VOCABULARY, tables, True, empty).encode(pa.array(texts))
+        assert len(empty[0]) == 0 and np.array_equal(ids, whole[0]) and np.array_equal(counts, whole[1])
+
+
 def test_token_counts_query(docs, rows, empty):
     library = Tokenizer.from_file(VOCABULARY)
     got = count_tokens(docs, VOCABULARY, keep=["doc_id", "score"], limit=100).collect()
