@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from contract import fixtures as fx
+from contract import queries
 from skein.operators import auc as roc
 from skein.operators import models, prep
 from skein.plans.supervised import compare_models
@@ -100,6 +101,41 @@ def test_scores_from_coefficients_and_optimum(table, spark):
     assert max(abs(r["gradient"]) for r in models.penalty_gradient(train, early, RAW_FEATURES).collect()) > 1e-3
 
 
+def test_train_table_fits_its_scaler_on_settled_rows(spark, sf_dir, monkeypatch):
+    plans = []
+    real = models.fit_scaler
+    monkeypatch.setattr(models, "fit_scaler", lambda df, c: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, c))
+    got = queries._train_table(spark, sf_dir)
+    assert len(plans) == 1 and "Join" not in plans[0] and "FileScan" not in plans[0]
+    train = got.where("split = 'train'").agg(F.avg("tx_packets").alias("m"), F.stddev_pop("tx_packets").alias("s")).first()
+    assert got.count() == 1000 and abs(train["m"]) < 1e-9 and abs(train["s"] - 1) < 1e-9
+
+
+def test_gradient_is_one_array_a_task_and_skips_missing_features(table, spark, monkeypatch):
+    names = RAW_FEATURES[:5]
+    train = table.where("split = 'train'")
+    model = models.fit_logistic(train, names, max_iter=3)
+    holed = train.withColumn(names[0], F.when(F.col("flow_id") % 7 != 0, F.col(names[0])))
+    passes = []
+    real = models._task_sums
+    monkeypatch.setattr(models, "_task_sums", lambda *a: passes.append(a[0].columns) or real(*a))
+    got = {(r["class"], r["feature"]): r["gradient"] for r in models.penalty_gradient(holed, model, names).collect()}
+    assert passes == [["place", "weight", "x"]]
+    weights = {r["label"]: r["weight"] for r in prep.class_weights(train).collect()}
+    rows = holed.select("label", *names).collect()
+    whole = [r for r in rows if r[names[0]] is not None]
+    x = np.array([[1.0, *[float(r[f]) for f in names]] for r in whole])
+    b = {(r["class"], r["feature"]): r["coefficient"] for r in models.coefficient_table(model, names, spark).collect()}
+    slopes = np.array([[b[c, f] for f in (None, *names)] for c in CLASS_NAMES])
+    p = np.exp(x @ slopes.T)
+    p /= p.sum(axis=1, keepdims=True)
+    off = (p - np.array([[r["label"] == c for c in CLASS_NAMES] for r in whole])) * np.array([[weights[r["label"]]] for r in whole])
+    want = off.T @ x / sum(weights[r["label"]] for r in rows)
+    want[:, 1:] += slopes[:, 1:] / len(rows)
+    assert 0 < len(whole) < len(rows)
+    assert np.allclose([[got[c, f] for f in (None, *names)] for c in CLASS_NAMES], want, atol=1e-12)
+
+
 def test_class_order_and_persistence(table, tmp_path):
     model = models.fit_logistic(table, RAW_FEATURES, max_iter=10)
     models.check_class_order(model, CLASS_NAMES)
