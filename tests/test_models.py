@@ -88,6 +88,34 @@ def test_pairs_are_fitted_in_common_passes(spark, table, monkeypatch):
     assert {tuple(r["probabilities"]) for r in models.score_rows(one_class, table.where(F.col("label") == NORMAL), ["flow_id"]).collect()} == {(1.0,)}
 
 
+def test_svm_passes_read_packed_rows_and_margins(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    x, label, weight = r.normal(size=(500, 4)), r.integers(0, 4, 500), r.uniform(0.5, 2.0, 500)
+    pairs, basis = models._class_pairs(4), models._fourier_basis(4, 0.3, 8, 1)
+    rows = spark.createDataFrame([(float(w), float(c), v.tolist()) for w, c, v in zip(weight, label, x)], "weight double, label_index double, x array<double>")
+    packs = settle(models._pack_rows(rows))
+    assert packs.columns == ["pack"] and packs.count() < 50
+    z = models._fourier(x, basis)
+    sign = np.array([[(c == a) * 1.0 - (c == b) for a, b in pairs] for c in label])
+    got = models._pair_sums(packs, basis, pairs, lambda z, sign, weight: (z.T @ (sign * weight[:, None])).ravel())
+    assert np.allclose(got, (z.T @ (sign * weight[:, None])).ravel())
+    slopes, curves = r.normal(size=(9, 6)), r.normal(size=(6, 2))
+    own, leads = models._own_pairs(pairs, 4)
+    margins = settle(models._pack_margins(packs, basis, slopes, own))
+    m = z @ slopes
+    p = 1 / (1 + np.exp(-(m * curves[:, 0] + curves[:, 1])))
+    off = np.where(sign != 0, p - (sign > 0), 0.0)
+    loss = -np.where(sign > 0, np.log(p), np.where(sign < 0, np.log(1 - p), 0.0)).sum()
+    assert np.allclose(models._curve_sums(margins, curves, own, leads), [*(off * m).sum(axis=0), *off.sum(axis=0), loss])
+    # all passes of a fit: packed rows for the machines, packed margins for the curves
+    seen = []
+    real = models._task_sums
+    monkeypatch.setattr(models, "_task_sums", lambda *a: seen.append(a[0].columns) or real(*a))
+    named = rows.select(*[F.get("x", F.lit(j)).alias(f"x{j}") for j in range(4)], F.col("label_index").cast("string").alias("label"))
+    models.fit_svm(named, ["x0", "x1", "x2", "x3"], max_iter=2, terms=8)
+    assert seen and all(columns == ["pack"] for columns in seen)
+
+
 def test_scores_from_coefficients_and_optimum(table, spark):
     train = table.where("split = 'train'")
     model = models.fit_logistic(train, RAW_FEATURES, max_iter=300)
