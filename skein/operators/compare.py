@@ -143,14 +143,16 @@ def t_test(df: DataFrame, value: str, alpha: float = 0.05) -> dict[str, object]:
     return {"n": row["n"], "t": row["t"], "p": p, "significant": p is not None and p < alpha}
 
 
-def _by_importance() -> list[Column]:
-    """Features that are multiples of each other are level at this precision and go by name."""
-    return [F.desc(F.round("importance", RANK_DIGITS)), F.col("feature")]
+def _by_importance(digits: int | None = RANK_DIGITS) -> list[Column]:
+    """Features that are multiples of each other are level at this precision and go by name; without
+    ``digits``, only equal importances are level."""
+    value = F.col("importance") if digits is None else F.round("importance", digits)
+    return [F.desc(value), F.col("feature")]
 
 
-def top_features(importance: DataFrame, k: int = 20) -> DataFrame:
+def top_features(importance: DataFrame, k: int = 20, digits: int | None = RANK_DIGITS) -> DataFrame:
     """The k most important features with their provenance; level ones by name."""
-    return importance.withColumn("type", provenance(F.col("feature"))).orderBy(*_by_importance()).limit(k)
+    return importance.withColumn("type", provenance(F.col("feature"))).orderBy(*_by_importance(digits)).limit(k)
 
 
 def importance_groups(importance: DataFrame, top: int = 20) -> DataFrame:

@@ -224,3 +224,8 @@ def test_level_importances_at_the_cut_go_by_name(spark):
     assert [r["feature"] for r in compare.top_features(rows, 1).collect()] == ["C2_H0_b"]
     groups = compare.importance_groups(rows, 1).where("facet = 'type'").collect()
     assert {r["name"]: r["n_top"] for r in groups} == {"original": 0, "topology": 1}
+
+
+def test_importances_without_digits_rank_as_they_are(spark):
+    rows = spark.createDataFrame([("a", 0.1 + 0.2), ("C2_H0_b", 0.3), ("z", 0.1 + 0.2)], "feature string, importance double")
+    assert [r["feature"] for r in compare.top_features(rows, 2, digits=None).collect()] == ["a", "z"]
