@@ -65,6 +65,27 @@ def test_knn_with_a_third_of_copies_and_ties(spark, tiny_packs):
     check_knn(spark.createDataFrame(rows), 6)
 
 
+def test_teams_of_packs_get_a_data_pack_once(spark, tiny_packs, monkeypatch):
+    rng = np.random.default_rng(4)
+    vecs = [rng.normal(size=3) if i % 4 else rng.integers(0, 3, 3) for i in range(900)]
+    rows = [Row(flow_id=i * 3, split="ab"[i % 5 == 0], manifold="C2", vec=[float(x) for x in v]) for i, v in enumerate(vecs)]
+    points = settle(spark.createDataFrame(rows))
+    monkeypatch.setattr(knn._Join, "team_rows", lambda self, dims: 150)
+    monkeypatch.setattr(knn, "MET_TOGETHER", 5)
+    check_knn(points, 6)
+    met = knn._Join(points, 6, ["split", "manifold"], "flow_id", "vec", 1).meetings()
+    asks = met.where("near < 0").groupBy("team").agg(F.count(F.lit(1)).alias("packs"), F.sum(F.size("q_ids")).alias("rows")).collect()
+    assert max(r["packs"] for r in asks) > 3 and max(r["rows"] for r in asks) <= 150
+    assert met.where("near >= 0").groupBy("team", "d_pack").count().where("count > 1").isEmpty()
+
+
+def test_knn_without_vectors_is_the_same_join(spark, sf_dir, tiny_packs):
+    points = settle(prep.scale_vectors(prep.long_points(fx.wide_points(spark, sf_dir))).select("flow_id", "manifold", "split", "vec"))
+    plain, found = knn.knn_join(points, 4, vectors=False), knn.knn_join(points, 4)
+    assert plain.columns == [c for c in found.columns if c != "neighbor_vec"]
+    assert plain.exceptAll(found.select(*plain.columns)).isEmpty() and plain.count() == 6000
+
+
 def test_knn_fewer_points_than_k(spark):
     rows = [Row(flow_id=i, split="test", manifold="C2", vec=[float(i)]) for i in range(4)]
     found = knn.knn_join(spark.createDataFrame(rows), 10).collect()
