@@ -11,8 +11,7 @@ from skein.operators.auc import multiclass_auc
 from skein.operators.evaluate import confusion_long, weighted_metrics
 from skein.operators.features import bar_features
 from skein.operators.models import check_class_order, score_rows
-from skein.operators.knn import knn_join
-from skein.operators.neighbors import neighborhoods
+from skein.operators.knn import knn_clouds
 from skein.operators.prep import (
     join_aligned,
     long_points,
@@ -43,7 +42,7 @@ def local_bars(
 
     def hoods() -> DataFrame:
         points = long_points(manifold_vectors(flows, ["flow_id"]))
-        return neighborhoods(knn_join(points.join(split.select("flow_id", "split"), "flow_id"), k))
+        return knn_clouds(points.join(split.select("flow_id", "split"), "flow_id"), k)
 
     if run is None:
         return cloud_bars(hoods(), keys, max_edge)

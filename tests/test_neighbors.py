@@ -13,6 +13,7 @@ from contract import queries
 from skein.functions.barcode import barcodes
 from skein.operators import distance, features, knn, neighbors, prep, topology
 from skein.operators.ranks import dense_position, exact_quantiles, hash_rank
+from skein.plans.supervised import local_bars
 from skein.session import settle
 
 
@@ -86,6 +87,12 @@ def test_knn_without_vectors_is_the_same_join(spark, sf_dir, tiny_packs):
     assert plain.exceptAll(found.select(*plain.columns)).isEmpty() and plain.count() == 6000
 
 
+def test_local_bars_do_not_shuffle_neighbours(spark, sf_dir):
+    flows = fx.flows(spark, sf_dir).limit(300)
+    split = settle(prep.stratified_split(flows.select("flow_id", "label")))
+    assert "collect_list" not in local_bars(flows, split, 6)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_knn_fewer_points_than_k(spark):
     rows = [Row(flow_id=i, split="test", manifold="C2", vec=[float(i)]) for i in range(4)]
     found = knn.knn_join(spark.createDataFrame(rows), 10).collect()
