@@ -21,7 +21,7 @@ The product of the document by n-gram incidence matrix with itself is never form
    family's least node. In a block the sparse product is taken row by row: overlaps with all rows
    whose size fits are accumulated over the row's n-grams, and rows that are already connected are
    left out. Nodes that their block does not connect with the family's least node go against the
-   family's other blocks in the same way; all others are connected already.
+   family's nodes of like size in the same way, again in blocks; all others are connected already.
 5. *Components* of the links found, with the least document id of each.
 
 Sets are compared by 64-bit hashes of their n-grams. A node is known by a 64-bit hash of its set;
@@ -38,7 +38,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -497,6 +497,34 @@ def _members(source: DataFrame, tied: DataFrame, nodes: DataFrame, settings: Joi
     return shared_table(members.dropDuplicates(["node"]), "jaccard-members")
 
 
+def _visits(large: DataFrame, apart: DataFrame, settings: JoinSettings) -> DataFrame:
+    """Where the sets of large families stand as hosts and those of ``apart`` as guests: (family, layer,
+    block, lane, node, n_shingles, keys, guest). Every guest meets every host of like size once."""
+    # linked sets have like sizes: they lie in one layer of sizes or in two next to each other
+    width = max(100 / settings.percent, 1.01) * (1 + 1e-9)
+    layer = F.floor(F.log(F.col("n_shingles")) / math.log(width)).cast("int")
+    large, apart = (t.select("family", layer.alias("layer"), "node", "n_shingles", "keys") for t in (large, apart))
+    near_layers = F.explode(F.sequence(F.col("layer") - 1, F.col("layer") + 1)).alias("layer")
+    guests = apart.select("family", near_layers, "node").groupBy("family", "layer").agg(F.ceil(F.count("*") / settings.rows).cast("int").alias("lanes"))
+    layers = large.groupBy("family", "layer").agg(F.ceil(F.count("*") / settings.rows).cast("int").alias("blocks"))
+    layers = layers.join(guests, ["family", "layer"])
+
+    def dealt_out(name: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
+
+    def all_of(name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+
+    # each guest meets every block of a layer; guests come in lanes of about as many as a block has rows
+    hosts = large.join(layers, ["family", "layer"]).select(
+        "family", "layer", dealt_out("blocks").alias("block"), all_of("lanes").alias("lane"), "node", "n_shingles", "keys", F.lit(False).alias("guest")
+    )
+    visits = apart.select("family", near_layers, "node", "n_shingles", "keys").join(layers, ["family", "layer"]).select(
+        "family", "layer", all_of("blocks").alias("block"), dealt_out("lanes").alias("lane"), "node", "n_shingles", "keys", F.lit(True).alias("guest")
+    )
+    return hosts.unionByName(visits)
+
+
 def _links(members: DataFrame, families: DataFrame, settings: JoinSettings) -> DataFrame:
     """Links that connect what is linked, inside blocks and then across them."""
     sizes = families.groupBy("root").agg(F.count("*").alias("members")).select(F.col("root").alias("family"), "members")
@@ -515,27 +543,25 @@ def _links(members: DataFrame, families: DataFrame, settings: JoinSettings) -> D
     state = large.join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
     main = state.where("node = family").select("family", F.col("root").alias("main")).distinct()
     apart = state.join(main, "family").where("root != main")
-    hosts = large.select("family", own.alias("block"), "node", "n_shingles", "keys", F.lit(False).alias("guest"))
-    guests = apart.select(
-        "family", "node", "n_shingles", "keys", own.alias("home"), F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).alias("lane"), "blocks"
-    )
-    # each guest goes to every other block, in lanes, so that a block never meets more than its own number
-    visits = guests.select(
-        "family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "lane", "home", "node", "n_shingles", "keys", F.lit(True).alias("guest")
-    ).where("block != home").drop("home")
-    lanes = guests.select("family", "lane").distinct()
-    rows = hosts.join(lanes, "family").select("family", "block", "lane", "node", "n_shingles", "keys", "guest").unionByName(visits)
-    across = rows.repartition("family", "block", "lane").groupBy("family", "block", "lane").applyInArrow(_block_links(settings.percent, True), _LINKS)
+    rows = _visits(large, apart, settings)
+    place = ["family", "layer", "block", "lane"]
+    across = rows.repartition(*place).groupBy(*place).applyInArrow(_block_links(settings.percent, True), _LINKS)
     return inside.unionByName(across)
 
 
+#: Ids of copies, 8 bytes each, that are sent to every task.
+_LISTED = 1 << 20
+
+
 def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", settings: JoinSettings = JoinSettings()) -> DataFrame:
     """All columns of one document of each component, the one with the least id; documents with an
     empty set stay. Rows of one id with an n-gram are one document and one of them stays; rows
     without an id stay, as nothing tells them apart."""
     found = similar_components(docs, text=text, doc_id=doc_id, keep=[doc_id], settings=settings)
     known = found.select(col(doc_id).cast("long").alias("id"), "node", "component_id").where("id is not null")
-    copies = known.where("id != component_id").select("id").distinct()
+    # counted first: a short list goes to the texts, a long one is joined like any table
+    copies = shared_table(known.where("id != component_id").select("id").distinct(), "jaccard-copies")
+    copies = F.broadcast(copies) if copies.count() <= _LISTED else copies
     again = known.where("node is not null").groupBy("id").count().where("count > 1").select("id")
     name = free_name(docs, "long_id")
     keyed = docs.withColumn(name, col(doc_id).cast("long"))

@@ -226,6 +226,36 @@ def test_keep_one(docs, rows):
     assert ids == Counter([i for i, _ in want] + [None])
 
 
+@pytest.mark.parametrize("percent", [80, 90, 100])
+def test_guests_meet_hosts_of_like_size_once(spark, percent):
+    sizes = [1, 2, 3, 4, 5, 64, 80, 81, 100, 125, 125, 156, 157, 1000, 1250, 1251, 3000] * 3
+    rows = [(7, n, size, b"") for n, size in enumerate(sizes)]
+    large = spark.createDataFrame(rows, "family long, node long, n_shingles long, keys binary")
+    met = jaccard._visits(large, large.where("node % 3 = 0"), jaccard.JoinSettings(percent=percent, rows=2)).collect()
+    places = defaultdict(lambda: ([], []))
+    for r in met:
+        places[r["layer"], r["block"], r["lane"]][r["guest"]].append(r["node"])
+    pairs = Counter((g, h) for hosts, guests in places.values() for g in guests for h in hosts)
+    like = {(g, h) for g in range(0, len(sizes), 3) for h in range(len(sizes)) if 100 * min(sizes[g], sizes[h]) >= percent * max(sizes[g], sizes[h])}
+    assert like <= set(pairs) and set(pairs.values()) == {1}
+    assert len(pairs) < 17 * 51 / 2  # not every guest with every host
+
+
+@pytest.mark.parametrize("listed, join", [(1 << 20, "BroadcastHashJoin"), (0, "SortMergeJoin")])
+def test_keep_one_sends_a_short_list_of_copies_to_the_texts(spark, docs, monkeypatch, listed, join):
+    monkeypatch.setattr(jaccard, "_LISTED", listed)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard.keep_one(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert join in next(line for line in plan.splitlines() if "LeftAnti" in line)
+        ids = sorted(r["doc_id"] for r in kept.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(ids) == len(set(ids)) > 0
+
+
 def test_blocks_lose_no_pair():
     r = np.random.default_rng(1)
     settings = jaccard.JoinSettings()
